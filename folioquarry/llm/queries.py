@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquarry.llm import chunking, mixing
+from folioquarry.llm import chunking, consensus, leakage, mixing
 from folioquarry.plans.runtime import table
 
 QUERIES: dict = {}
@@ -53,3 +53,40 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of each source."""
     out = mixing.report(_sized(spark, sf_dir), table(spark, sf_dir, "source_weights"))
     return out.select("source", "target_share", "max_repeats", "documents", "own_tokens", "all_tokens", F.round("budget", 3).alias("budget"), "epochs", "mixed_tokens", F.round("reached_share", 6).alias("reached_share"), "capped")
+
+
+def _consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
+    return consensus.Consensus(consensus.latest_votes(table(spark, sf_dir, "field_results").select("result_id", "judge_history")))
+
+
+@query()
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "field_results").where("judge_verdict is not null").select("result_id", F.col("judge_verdict").cast("int").alias("said")).distinct()
+    got = _consensus(spark, sf_dir).consensus().select(F.col("item").alias("result_id"), "consensus")
+    return said.join(got, "result_id").where("said <> consensus").select("result_id").distinct()
+
+
+@query()
+def p5_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus verdict, its probability and the judges' agreement for each result."""
+    got = _consensus(spark, sf_dir).consensus()
+    return got.select(F.col("item").alias("result_id"), (F.col("consensus") == 1).alias("consensus"), F.round("confidence", 4).alias("confidence"), "votes", F.round("agreement", 6).alias("agreement"))
+
+
+@query()
+def p5_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each judge: the chance of a right verdict where the answer is wrong, and where it is right."""
+    return _consensus(spark, sf_dir).reliability().select("judge", F.round("right_on_0", 4).alias("specificity"), F.round("right_on_1", 4).alias("sensitivity"))
+
+
+@query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return got.where(F.col("longest_run") >= leakage.WIDTH).select("item_id", "doc_id")
+
+
+@query()
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks with their extent: a shared run of 12 words, or a weighted-shingle similarity of 0.8."""
+    got = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return got.where((F.col("longest_run") >= leakage.WIDTH) | (F.col("similarity") >= 0.8)).select("item_id", "doc_id", "longest_run", F.round("similarity", 4).alias("similarity"))
