@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquarry.llm import chunking, consensus, leakage, mixing
+from folioquarry.llm import chunking, consensus, leakage, mixing, truncation
 from folioquarry.plans.runtime import table
 
 QUERIES: dict = {}
@@ -90,3 +90,14 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaks with their extent: a shared run of 12 words, or a weighted-shingle similarity of 0.8."""
     got = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return got.where((F.col("longest_run") >= leakage.WIDTH) | (F.col("similarity") >= 0.8)).select("item_id", "doc_id", "longest_run", F.round("similarity", 4).alias("similarity"))
+
+
+@query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.detect(table(spark, sf_dir, "documents")).where("truncated").select("doc_id")
+
+
+@query()
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source's texts break off."""
+    return truncation.rates(truncation.detect(table(spark, sf_dir, "documents"))).select("source", "records", "truncated_records", F.round("rate", 6).alias("rate"))
