@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquarry.llm import chunking, consensus, leakage, mixing, truncation
+from folioquarry.llm import chunking, consensus, leakage, mixing, neardup, truncation
 from folioquarry.plans.runtime import table
 
 QUERIES: dict = {}
@@ -101,3 +101,18 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each source's texts break off."""
     return truncation.rates(truncation.detect(table(spark, sf_dir, "documents"))).select("source", "records", "truncated_records", F.round("rate", 6).alias("rate"))
+
+
+def _near(spark: SparkSession, sf_dir: str, **how) -> neardup.PathJoin:
+    return neardup.PathJoin(table(spark, sf_dir, "documents"), **how)
+
+
+@query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir, k=3, threshold=(7, 10)).found().select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+@query()
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups at the general setting (five words, 0.8): class and number of links of each document."""
+    return _near(spark, sf_dir).classes().withColumnRenamed("id", "doc_id")
