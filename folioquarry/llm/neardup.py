@@ -33,7 +33,7 @@ from folioquarry.plans.runtime import cut
 
 ASCII_WORD = re.compile(r"[a-z0-9]+")
 SKETCH = 128
-_SEEDS = H.mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_SEEDS = (H.mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SLAB = 4096
 
 
@@ -44,13 +44,13 @@ def token_set(text: str, k: int) -> np.ndarray:
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """128 one-bit minhashes as two 64-bit words: two sets of similarity s agree on (1 + s) / 2 of the bits."""
-    best = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for lo in range(0, len(tokens), _SLAB):
-            part = tokens[lo : lo + _SLAB]
-            h = part[None, :] * _SEEDS[:, None]
-            h ^= h >> np.uint64(32)
-            np.minimum(best, (h * np.uint64(0xD6E8FEB86659FD93)).min(1), out=best)
+    best = np.full(SKETCH, np.iinfo(np.uint32).max, dtype=np.uint32)
+    low = (tokens >> np.uint64(16)).astype(np.uint32)  # 32-bit arithmetic is vectorised by the processor
+    for lo in range(0, len(low), _SLAB):
+        h = low[lo : lo + _SLAB][None, :] * _SEEDS[:, None]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        np.minimum(best, h.min(1), out=best)
     bits = (np.bitwise_count(best) & 1).astype(np.uint8)
     return np.packbits(bits).view(np.uint64)
 
@@ -65,9 +65,10 @@ def step(tokens: np.ndarray, path: int, branch: float) -> np.ndarray:
 
 
 class PathJoin:
-    def __init__(self, docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10), recall: float = 0.995, branch: float = 3.0, bucket: int = 64, max_depth: int = 8, id_col: str = "doc_id"):
+    def __init__(self, docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10), recall: float = 0.995, branch: float = 3.0, bucket: int = 1024, broadcast_rows: int = 200_000, max_depth: int = 8, id_col: str = "doc_id"):
         self.k, self.branch, self.bucket, self.max_depth, self.id = k, branch, bucket, max_depth, id_col
         self.num, self.den = threshold
+        self.broadcast_rows = broadcast_rows
         t = self.num / self.den
         # A pair at the threshold shares at least t x the larger set: so many of its tokens are chosen by both on average.
         # It must go on over two or more steps, hence the chance of survival of the branching process.
@@ -80,6 +81,7 @@ class PathJoin:
         self.off = int(off + 4.5 * math.sqrt(off * (1 - off / SKETCH)))
         self.texts = docs.select(F.col(id_col).alias("id"), "text").where("text is not null and id is not null")
         self.profile = cut(self._profile())
+        self.repeated = self.profile.groupBy("id").count().where("count > 1").limit(1).count() > 0
         same = self.profile.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "k1", "k2", "b1", "b2")).alias("r"))
         self.reps = cut(same.select("s1", "s2", "n", "r.*"))
 
@@ -113,10 +115,14 @@ class PathJoin:
         sizes = (F.col("x.n") * self.den >= F.col("y.n") * self.num) & (F.col("y.n") * self.den >= F.col("x.n") * self.num)
         return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & sizes & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
+    def _near_texts(self, few: DataFrame) -> DataFrame:
+        """The texts of ``few`` (written already), which goes to the texts if its counted rows allow, so that these aren't shuffled."""
+        return self.texts.join(F.broadcast(few) if few.count() <= self.broadcast_rows else few, "id")
+
     def _deeper(self, rows: DataFrame) -> DataFrame:
         """One more step for the (key, id, ...) of large buckets; the texts are read again."""
         k, branch = self.k, self.branch
-        paths = rows.groupBy("id", "n", "b1", "b2").agg(F.collect_set("key").alias("paths"))  # a few paths per text
+        paths = cut(rows.groupBy("id", "n", "b1", "b2").agg(F.collect_set("key").alias("paths")))  # a few paths per text
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -128,7 +134,7 @@ class PathJoin:
                 yield pd.DataFrame(out, columns=["key", "id", "n", "b1", "b2"])
 
         kind = dict(self.texts.dtypes)["id"]
-        return paths.join(self.texts, "id").mapInPandas(run, f"key bigint, id {kind}, n int, b1 bigint, b2 bigint")
+        return self._near_texts(paths).mapInPandas(run, f"key bigint, id {kind}, n int, b1 bigint, b2 bigint")
 
     def candidates(self) -> DataFrame:
         """Pairs of representatives that some bucket brought together."""
@@ -154,14 +160,15 @@ class PathJoin:
         """Verified pairs of representatives: ``a`` < ``b``, ``shared``, ``total``."""
         k = self.k
         cand = cut(self.candidates())
-        ids = cand.select(F.col("a").alias("id")).unionByName(cand.select(F.col("b").alias("id"))).distinct()
+        ids = cut(cand.select(F.col("a").alias("id")).unionByName(cand.select(F.col("b").alias("id"))).distinct())
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 yield pd.DataFrame({"id": pdf["id"], "tokens": [H.signed(token_set(t, k)) for t in pdf["text"]]})
 
         kind = dict(self.texts.dtypes)["id"]
-        tokens = cut(self.texts.join(ids, "id", "left_semi").mapInPandas(run, f"id {kind}, tokens array<bigint>").dropDuplicates(["id"]))
+        tokens = cut(self._near_texts(ids).mapInPandas(run, f"id {kind}, tokens array<bigint>"))
+        tokens = tokens.groupBy("id").agg(F.first("tokens").alias("tokens")) if self.repeated else tokens
         x = cand.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
         x = x.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("shared"), (F.size("ta") + F.size("tb")).alias("sum"))
         return x.select("a", "b", "shared", (F.col("sum") - F.col("shared")).alias("total")).where(F.col("shared") * self.den >= F.col("total") * self.num)
