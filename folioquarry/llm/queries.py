@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquarry.llm import chunking, consensus, leakage, mixing, neardup, truncation
+from folioquarry.llm import chunking, consensus, emails, leakage, mixing, neardup, truncation
 from folioquarry.plans.runtime import table
 
 QUERIES: dict = {}
@@ -116,3 +116,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups at the general setting (five words, 0.8): class and number of links of each document."""
     return _near(spark, sf_dir).classes().withColumnRenamed("id", "doc_id")
+
+
+def _new_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emails.new_lines(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_text"))
+
+
+@query()
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _new_lines(spark, sf_dir)
+
+
+@query()
+def p1_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each email reduced to its newly written text."""
+    kept = _new_lines(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("nos"))  # an email's own lines
+    pages = emails.email_pages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_text"))
+    lines = F.split("text", "\n")
+    return pages.join(kept, "doc_id").select("doc_id", F.size("nos").alias("n_lines"), F.array_join(F.transform("nos", lambda k: F.element_at(lines, k)), "\n").alias("text"))
