@@ -337,10 +337,12 @@ def decide(m: Message, sentences: list[tuple[int, int, bool, bool]]) -> list[int
     return [i + 1 for i in np.flatnonzero(fresh)]
 
 
-def fingerprints(sentences: list[str]) -> np.ndarray:
-    """SimHashes of many sentences at once: each over its words and word pairs."""
+def fingerprints(sentences: list[str], slab: int = 2000) -> np.ndarray:
+    """SimHashes of many sentences: each over its words and word pairs, ``slab`` sentences at once."""
     if not sentences:
         return np.zeros(0, dtype=np.uint64)
+    if len(sentences) > slab:
+        return np.concatenate([fingerprints(sentences[i : i + slab]) for i in range(0, len(sentences), slab)])
     hs = [H.hashed(s.split()) for s in sentences]
     sizes = np.array([len(h) for h in hs])
     every = np.concatenate(hs)
