@@ -55,7 +55,7 @@ def _spelt(d: DataFrame) -> DataFrame:
     return d.select("o_orderkey", k.alias("spelling"), raw.alias("raw"))
 
 
-@query(f"""select o_orderkey, case o_orderkey % 9 when 5 then null when 1 then -v when 3 then -v when 7 then -v when 8 then v * 1000 else v end as value from (select o_orderkey, cast({_CENTS} as double) / 100.0 as v from orders)""")
+@query(f"""select o_orderkey, case o_orderkey % 9 when 5 then null when 1 then -v when 3 then -v when 7 then -v when 8 then round(v * 1000, 2) else v end as value from (select o_orderkey, cast({_CENTS} as double) / 100.0 as v from orders)""")
 def coerce_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order total spelt as text and read back."""
     s = _spelt(table(spark, sf_dir, "orders"))
