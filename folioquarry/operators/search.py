@@ -108,7 +108,7 @@ def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     return w.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", k: int = 10) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", k: int = 10, few_terms: int = 200) -> DataFrame:
     """Okapi BM25 of many queries (query_id, terms) at once over unstemmed words: (query_id, key, score), the best ``k`` of each.
 
     Only the postings of asked terms are made: the chunk's words are filtered by the distinct query terms before they
@@ -119,7 +119,12 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", k: int =
     asked = q.select("term").distinct()
     w = chunks.select(key, T.words(F.col("text")).alias("w")).where("w is not null")
     corpus = w.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg_length"))
-    p = w.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).join(asked, "term", "left_semi").groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
+    few = [r.term for r in asked.limit(few_terms + 1).collect()]
+    if len(few) <= few_terms:  # a few terms are filtered within each word list; many meet it by a join
+        hits = w.select(key, F.size("w").alias("length"), F.explode(F.filter("w", lambda x: x.isin(*few))).alias("term"))
+    else:
+        hits = w.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).join(asked, "term", "left_semi")
+    p = hits.groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = p.join(df, "term").join(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
