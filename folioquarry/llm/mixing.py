@@ -81,7 +81,7 @@ def report(sizes: DataFrame, weights: DataFrame, seed: int = 17) -> DataFrame:
     got = mix(sizes, weights, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
     out = plan(sizes, weights).join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
     total = out.agg(F.sum("mixed_tokens").alias("_total"))
-    return out.join(F.broadcast(total)).withColumn("reached_share", F.col("mixed_tokens") / F.col("_total")).drop("_total")  # ``total`` is one row
+    return out.join(F.broadcast(total)).withColumn("reached_share", F.try_divide("mixed_tokens", "_total")).drop("_total")  # ``total`` is one row
 
 
 def mixed(docs: DataFrame, weights: DataFrame, tokenizers: str = DEFAULT_TOKENIZERS) -> DataFrame:
