@@ -41,7 +41,7 @@ def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
         return F.when(c <= 64, small).otherwise(z * F.log(z) - z + 0.5 * F.log(2 * math.pi * z) + 1 / (12 * z) - 1 / (360 * z * z * z))
 
     tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), F.lit(0.0), lambda s, i: s + F.exp(lfact(m) - lfact(i) - lfact(m - i) - m * math.log(2)))
-    return g.select("n", "a_only", "b_only", ((F.col("a_only") - F.col("b_only")) / F.col("n")).alias("diff"), F.when(m == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail)).alias("p_value"))
+    return g.select("n", "a_only", "b_only", F.try_divide(F.col("a_only") - F.col("b_only"), "n").alias("diff"), F.when(m == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail)).alias("p_value"))
 
 
 def bootstrap_diff(pairs: DataFrame, key: str, a: str, b: str, iterations: int = 200, seed: int = 11, level: float = 0.95) -> DataFrame:
