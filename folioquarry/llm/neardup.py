@@ -55,13 +55,20 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
-def step(tokens: np.ndarray, path: int, branch: float) -> np.ndarray:
-    """Keys of the buckets that one more step from ``path`` leads to."""
-    h = H.mix(tokens ^ np.uint64(path))
+def step(tokens: np.ndarray, paths: np.ndarray, branch: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the buckets that one more step from each of ``paths`` leads to, and the number of the path that each continues."""
     limit = np.uint64(min(1.0, branch / len(tokens)) * float((1 << 64) - 2048))
-    chosen = h[h <= limit]
+    keys, whose = [], []
     with np.errstate(over="ignore"):
-        return H.mix(chosen + np.uint64(path) * np.uint64(0x9E3779B97F4A7C15))
+        for lo in range(0, len(tokens), _SLAB * 8):
+            h = tokens[lo : lo + _SLAB * 8][None, :] ^ paths[:, None]
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            row, col = np.nonzero(h <= limit)
+            keys.append(H.mix(h[row, col] + paths[row] * np.uint64(0x9E3779B97F4A7C15)))
+            whose.append(row)
+    return np.concatenate(keys), np.concatenate(whose)
 
 
 class PathJoin:
@@ -82,12 +89,12 @@ class PathJoin:
         self.texts = docs.select(F.col(id_col).alias("id"), "text").where("text is not null and id is not null")
         self.profile = cut(self._profile())
         self.repeated = self.profile.groupBy("id").count().where("count > 1").limit(1).count() > 0
-        same = self.profile.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "k1", "k2", "b1", "b2")).alias("r"))
+        same = self.profile.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "k1", "p2", "k2", "b1", "b2")).alias("r"))
         self.reps = cut(same.select("s1", "s2", "n", "r.*"))
 
     def _profile(self) -> DataFrame:
         k, branch, runs = self.k, self.branch, self.runs
-        seeds = [int(x) for x in H.mix(np.arange(101, 101 + runs, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
+        seeds = H.mix(np.arange(101, 101 + runs, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -95,18 +102,18 @@ class PathJoin:
                 for i, text in zip(pdf["id"], pdf["text"]):
                     t = token_set(text, k)
                     if not len(t):
-                        rows.append((i, 0, 0, 0, 0, 0, None, None))
+                        rows.append((i, 0, 0, 0, 0, 0, None, None, None))
                         continue
                     b = H.signed(sketch(t))
                     with np.errstate(over="ignore"):
                         s1, s2 = H.signed(np.array([t.sum(dtype=np.uint64), H.mix(t).sum(dtype=np.uint64)]))
-                    first = [x for s in seeds for x in step(t, s, branch)]
-                    second = [H.signed(step(t, int(x), branch)) for x in first]
-                    rows.append((i, len(t), s1, s2, b[0], b[1], H.signed(np.array(first, dtype=np.uint64)), second))
-                yield pd.DataFrame(rows, columns=["id", "n", "s1", "s2", "b1", "b2", "k1", "k2"])
+                    first, _ = step(t, seeds, branch)
+                    second, of = step(t, first, branch) if len(first) else (first, np.zeros(0, np.int64))
+                    rows.append((i, len(t), s1, s2, b[0], b[1], H.signed(first), H.signed(first[of]), H.signed(second)))
+                yield pd.DataFrame(rows, columns=["id", "n", "s1", "s2", "b1", "b2", "k1", "p2", "k2"])
 
         kind = dict(self.texts.dtypes)["id"]
-        return self.texts.mapInPandas(run, f"id {kind}, n int, s1 bigint, s2 bigint, b1 bigint, b2 bigint, k1 array<bigint>, k2 array<array<bigint>>")
+        return self.texts.mapInPandas(run, f"id {kind}, n int, s1 bigint, s2 bigint, b1 bigint, b2 bigint, k1 array<bigint>, p2 array<bigint>, k2 array<bigint>")
 
     def _compare(self, rows: DataFrame) -> DataFrame:
         """Pairs within the buckets of ``rows`` (key, id, n, b1, b2) that sizes and sketches let pass."""
@@ -129,8 +136,8 @@ class PathJoin:
                 out = []
                 for text, i, n, b1, b2, ps in zip(pdf["text"], pdf["id"], pdf["n"], pdf["b1"], pdf["b2"], pdf["paths"]):
                     t = token_set(text, k)
-                    for p in ps:
-                        out.extend((int(x), i, n, b1, b2) for x in H.signed(step(t, int(p) & 0xFFFFFFFFFFFFFFFF, branch)))
+                    keys, _ = step(t, np.asarray(ps, dtype=np.int64).view(np.uint64), branch)
+                    out.extend((x, i, n, b1, b2) for x in H.signed(keys).tolist())
                 yield pd.DataFrame(out, columns=["key", "id", "n", "b1", "b2"])
 
         kind = dict(self.texts.dtypes)["id"]
@@ -150,8 +157,8 @@ class PathJoin:
             if last or not large.limit(1).count():
                 break
             if depth == 1:
-                deep = self.reps.select(F.explode(F.arrays_zip("k1", "k2")).alias("z"), "id", "n", "b1", "b2").select(F.col("z.k1").alias("key"), F.col("z.k2").alias("next"), "id", "n", "b1", "b2")
-                rows = cut(deep.join(large, "key", "left_semi").select(F.explode("next").alias("key"), "id", "n", "b1", "b2"))
+                deep = self.reps.select(F.explode(F.arrays_zip("p2", "k2")).alias("z"), "id", "n", "b1", "b2").select(F.col("z.p2").alias("path"), F.col("z.k2").alias("key"), "id", "n", "b1", "b2")
+                rows = cut(deep.join(large.withColumnRenamed("key", "path"), "path", "left_semi").drop("path"))
             else:
                 rows = cut(self._deeper(rows.join(large, "key", "left_semi")))
         return found.distinct()
