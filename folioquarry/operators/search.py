@@ -26,8 +26,9 @@ def _check_k(k: int) -> int:
 def route_tables(manifest: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, table_name) worth a look: a term overlaps a column name or the caption of a trusted or unchecked table, or the query has numbers and the table isn't untrusted.
 
-    ``manifest``: table_name, columns, caption, status; ``queries``: query_id, terms, numbers. Terms and names meet by
-    equi-join on name tokens that contain the term; both sides are small next to the cells they prune.
+    ``manifest``: table_name, columns, caption, status; ``queries``: query_id, terms, numbers. Containment has no key to
+    join on: the queries are the stated set, each held against every table's names, which are small next to the cells
+    they prune.
     """
     m = manifest.withColumn("_hay", F.lower(F.concat_ws(" ", F.array_join("columns", " "), F.coalesce("caption", F.lit("")))))
     m = m.where("status in ('trusted', 'unchecked', 'reextracted')")

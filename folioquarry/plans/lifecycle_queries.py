@@ -116,22 +116,27 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select 'f' || lpad(cast(p_partkey as varchar), 9, '0') as field_id, 'the buyer' as role, p_brand as subject, trim(p_name) as label, case when p_partkey % 3 = 0 then p_brand end as "group", case when p_partkey % 3 = 0 then 'which one?' end as group_question, case when p_partkey % 3 = 0 then 'checkbox' else 'date' end as field_type from part""")
 def form_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forms.parse_fields(_fields(spark, sf_dir))
+    return forms.parse_fields(_fields(spark, sf_dir)).drop("question_id")
 
 
 @query("""select p_brand as question_id, count(*) as members, case when count(*) > 1 then 'options' else 'value' end as mode from part where p_partkey % 3 = 0 group by 1 union all select 'field:f' || lpad(cast(p_partkey as varchar), 9, '0'), 1, 'value' from part where p_partkey % 3 <> 0""")
 def form_group_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = forms.collapse(forms.parse_fields(_fields(spark, sf_dir)))
-    return q.select("question_id", F.size("members").cast("bigint").alias("members"), "mode")
+    return q.select("question_id", "members", "mode")
 
 
 @query("""with g as (select p_brand as q, min(p_partkey) as chosen, count(*) as n from part where p_partkey % 3 = 0 group by 1) select q as question_id, 'f' || lpad(cast(p_partkey as varchar), 9, '0') as field_id, case when n = 1 then 'Not found' when p_partkey = chosen then 'yes' else 'No' end as field_value from part join g on q = p_brand where p_partkey % 3 = 0
   union all select 'field:f' || lpad(cast(p_partkey as varchar), 9, '0'), 'f' || lpad(cast(p_partkey as varchar), 9, '0'), 'Not found' from part where p_partkey % 3 <> 0""")
 def form_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups answered with their first member; lone fields left unanswered."""
-    q = forms.collapse(forms.parse_fields(_fields(spark, sf_dir)))
-    a = q.where("mode = 'options'").select("question_id", F.element_at("members", 1)["field_id"].alias("choice"), F.lit(None).cast("string").alias("value"))
-    return forms.fan_out(q, a)
+    f = forms.parse_fields(_fields(spark, sf_dir))
+    a = forms.collapse(f).where("mode = 'options'").select("question_id", F.col("first_member").alias("choice"), F.lit(None).cast("string").alias("value"))
+    return forms.fan_out(f, a)
+
+
+@query("""select min('f' || lpad(cast(p_partkey as varchar), 9, '0')) as field_id, 'no alternative' as fault from part where p_partkey % 3 = 0 group by p_brand having count(*) = 1""")
+def form_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms.faults(forms.parse_fields(_fields(spark, sf_dir)))
 
 
 QUERIES, ORACLE = R.queries, R.oracle

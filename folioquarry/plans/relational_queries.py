@@ -106,13 +106,6 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id", "event_type", F.floor("value").alias("v")).agg(F.min("event_id").alias("event_id")).select("event_id", "user_id", "event_type")
 
 
-@query("select user_id, string_agg(event_type, ' > ' order by event_id) as transcript, count(*) as turns from events where event_id <= 2000 or event_id > 2000 group by 1")
-def transcript_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    g = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("t"), F.count(F.lit(1)).alias("turns"))
-    return g.select("user_id", F.array_join(F.transform("t", lambda x: x["event_type"]), " > ").alias("transcript"), "turns")
-
-
 @query("select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))

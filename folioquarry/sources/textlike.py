@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -209,9 +209,11 @@ def image_rows(files: DataFrame) -> DataFrame:
 
 
 def unique_ids(df: DataFrame, base: str, order: str, out: str = "doc_uid") -> DataFrame:
-    """Distinct ids from base ids: the first keeps its base, later ones get ``_2``, ``_3`` and so on, in order."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return df.withColumn(out, F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n.cast("string"))))
+    """Distinct ids from base ids: the first keeps its base, later ones get ``_2``, ``_3`` and so on, in order of a whole number that is unique."""
+    from folioquarry.operators.temporal import numbered
+
+    d = numbered(df, base, order, "_nth")
+    return d.withColumn(out, F.when(F.col("_nth") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), F.col("_nth").cast("string")))).drop("_nth")
 
 
 def read_files(spark, path: str, glob: str = "*") -> DataFrame:

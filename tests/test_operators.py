@@ -208,6 +208,12 @@ def test_forms_and_temporal(spark):
     assert got["a"].subject == "Ann Lee" and got["a"].group == "g" and got["a"].field_type == "checkbox" and got["b"].group is None
     facts = spark.createDataFrame([("k", 5), ("k", 1), ("z", 1)], "k string, t int")
     rates = spark.createDataFrame([("k", 2, 10), ("k", 5, 20)], "k string, s int, v int")
+    assert rows(temporal.effective(facts, rates, "k", "t", "s", "v", width=2).fillna(-1), "k", "t", "in_force") == [("k", 1, -1), ("k", 5, 20), ("z", 1, -1)]
+    ev = spark.sql("select cast(id % 2 as string) k, timestamp'2024-01-01' + make_dt_interval(0, 0, cast(pmod(id * id * 7, 4000) as int), 0) at from range(60)")
+    want = sorted(tuple(r) for r in temporal.sessions(ev, "k", "at", 1800).collect())
+    assert want == sorted(tuple(r) for r in temporal.sessions(ev, "k", "at", 1800, width=3_600_000_000).collect())
+    n = spark.createDataFrame([(None, 5), ("a", 70000), ("a", 3), ("a", 9)], "b string, o bigint")
+    assert rows(temporal.numbered(n, "b", "o").fillna("-"), "b", "o", "n") == [("-", 5, 1), ("a", 3, 1), ("a", 9, 2), ("a", 70000, 3)]
     assert rows(temporal.effective(facts, rates, "k", "t", "s", "v").fillna(-1), "k", "t", "in_force") == [("k", 1, -1), ("k", 5, 20), ("z", 1, -1)]
 
 
