@@ -94,7 +94,9 @@ def pieces(chunks: DataFrame, max_size: int = MAX_SIZE, overlap: int = OVERLAP,
 
     Chunks within the limit stay on the JVM side; only the others go through Python, row by row and without a shuffle.
     """
-    base = chunks.select("chunk_id", "doc_id", "heading_path", F.coalesce("char_start", F.lit(0)).cast("int").alias("_at"), "text").where("length(text) > 0")
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
+    # Ids pass Python as strings: with nulls they would become floats there.
+    base = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), "heading_path", F.coalesce("char_start", F.lit(0)).cast("int").alias("_at"), "text").where("length(text) > 0")
     text = ["text"] if with_text else []
     small = base.where(F.length("text") <= max_size).select(
         "chunk_id", "doc_id", "heading_path", F.lit(0).alias("piece_no"), F.col("_at").alias("char_start"), (F.col("_at") + F.length("text")).alias("char_end"), *text
@@ -108,9 +110,9 @@ def pieces(chunks: DataFrame, max_size: int = MAX_SIZE, overlap: int = OVERLAP,
                     rows.append((c, d, h, k, at + s, at + e, *((t[s:e],) if with_text else ())))
             yield pd.DataFrame(rows, columns=["chunk_id", "doc_id", "heading_path", "piece_no", "char_start", "char_end", *text])
 
-    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
-    schema = f"chunk_id {kinds['chunk_id']}, doc_id {kinds['doc_id']}, heading_path string, piece_no int, char_start int, char_end int" + ", text string" * with_text
-    return small.unionByName(base.where(F.length("text") > max_size).mapInPandas(run, schema))
+    schema = f"chunk_id string, doc_id string, heading_path string, piece_no int, char_start int, char_end int" + ", text string" * with_text
+    out = small.unionByName(base.where(F.length("text") > max_size).mapInPandas(run, schema))
+    return out.withColumn("chunk_id", F.col("chunk_id").cast(kinds["chunk_id"])).withColumn("doc_id", F.col("doc_id").cast(kinds["doc_id"]))
 
 
 def oversized(chunks: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:

@@ -11,7 +11,7 @@ the items).
 Documents are scanned in one pass without a shuffle. The items are the stated query set; they go to the tasks in
 blocks of at most ``block_windows`` windows (a proven bound), one pass over the documents for each block.
 
-Defined cases: null and empty texts and passages of fewer than ``width`` words match nothing; repeated items match
+Defined cases: items without an id are left out; null and empty texts and passages of fewer than ``width`` words match nothing; repeated items match
 each for itself; long texts are scanned whole, ``SLICE`` words at a time with overlap.
 """
 
@@ -142,7 +142,7 @@ def scan(texts: list[str], index: ItemIndex) -> list[tuple[int, int, int, float]
 def item_blocks(items: DataFrame, block_windows: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about ``block_windows`` windows at most, streamed through the driver."""
     block, held = [], 0
-    for r in items.select("item_id", "passage").where("length(passage) > 0").orderBy("item_id").toLocalIterator():
+    for r in items.select("item_id", "passage").where("item_id is not null and length(passage) > 0").orderBy("item_id").toLocalIterator():
         n = len(r.passage) // 2
         if block and held + n > block_windows:
             yield block
@@ -156,8 +156,9 @@ def item_blocks(items: DataFrame, block_windows: int) -> Iterator[list[tuple[int
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, radius: int = RADIUS, block_windows: int = 500_000) -> DataFrame:
     """``item_id``, ``doc_id``, ``longest_run`` and ``similarity`` of items and documents that share a window within the radius."""
     kind = {f.name: f.dataType.simpleString() for f in [*docs.schema.fields, *items.schema.fields]}
-    schema = f"item_id {kind['item_id']}, doc_id {kind['doc_id']}, longest_run int, similarity double"
-    texts = docs.select("doc_id", "text").where("length(text) > 0")
+    schema = f"item_id {kind['item_id']}, doc_id string, longest_run int, similarity double"
+    # Ids pass Python as strings: with nulls they would become floats there.
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").where("length(text) > 0")
     out = None
     for block in item_blocks(items, block_windows):
 
@@ -170,4 +171,5 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, radius: int = R
 
         part = texts.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    out = out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind["doc_id"]))

@@ -42,11 +42,12 @@ def sized(docs: DataFrame, tokenizers: str = DEFAULT_TOKENIZERS) -> DataFrame:
             yield out
 
     copied = F.col("duplicate_of").isNotNull() if "duplicate_of" in docs.columns else F.lit(False)
-    out = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), copied.alias("copied")).mapInPandas(
-        run, "doc_id bigint, source string, copied boolean, chars bigint, tokens bigint"
+    kind = dict(docs.dtypes)["doc_id"]  # ids pass Python as strings: with nulls they would become floats there
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.coalesce("text", F.lit("")).alias("text"), copied.alias("copied")).mapInPandas(
+        run, "doc_id string, source string, copied boolean, chars bigint, tokens bigint"
     )
     weight = F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.col("chars") / (F.col("tokens") * 4)))
-    return out.select("doc_id", "source", "tokens", F.when(F.col("tokens") > 0, weight * F.when(F.col("copied"), 0.25).otherwise(1.0)).otherwise(F.lit(0.05)).alias("weight"))
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", "tokens", F.when(F.col("tokens") > 0, weight * F.when(F.col("copied"), 0.25).otherwise(1.0)).otherwise(F.lit(0.05)).alias("weight"))
 
 
 def plan(sizes: DataFrame, weights: DataFrame) -> DataFrame:

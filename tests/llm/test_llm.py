@@ -306,3 +306,16 @@ def test_truncation_on_held_out_cuts(spark):
     assert len(found & clear) > 0.9 * len(clear) and len(found - cut) < 0.05 * len(cut) + 5
     assert truncation.detect(d.limit(0)).count() == 0
     assert truncation.rates(truncation.detect(d.where("doc_id >= 1000"))).count() == 2
+
+
+def test_ids_with_nulls_stay_whole(spark):
+    big = (1 << 60) + 1
+    d = spark.createDataFrame([(big, "a", "some text here.", None), (None, "a", "some text here.", None)], "doc_id bigint, source string, text string, duplicate_of bigint")
+    assert {r.doc_id for r in mixing.sized(d).collect()} == {big, None}
+    assert {r.doc_id for r in truncation.detect(d).collect()} == {big, None}
+    p = " ".join(f"w{i}" for i in range(20))
+    t = spark.createDataFrame([(big, p), (None, p)], "doc_id bigint, text string")
+    assert {r.doc_id for r in leakage.leaks(t, spark.createDataFrame([(1, p), (None, p)], "item_id bigint, passage string")).collect()} == {big, None}
+    c = spark.createDataFrame([(big, None, 0, None, "x" * 2000), (None, big, 0, None, "x" * 2000)], "chunk_id bigint, doc_id bigint, char_start int, heading_path string, text string")
+    assert {(r.chunk_id, r.doc_id) for r in chunking.pieces(c).collect()} == {(big, None), (None, big)}
+    assert neardup.PathJoin(t, k=3).found().count() == 0
