@@ -202,9 +202,10 @@ def load_rows(raw_rows: DataFrame, raw_tables: DataFrame, typed: bool = True, ke
     """
     layouts = raw_tables.select(F.col("table_name").alias("_layout"), _spec().alias("_spec")).dropDuplicates(["_layout"])
     rows = raw_rows.select("row_key", *keep, F.coalesce("raw_line", F.lit("")).alias("_line"), F.col("table_name").alias("_of"))
-    joined = rows.join(layouts, F.col("_of") == F.col("_layout"), "left").select("row_key", *keep, "_line", "_spec")
+    kept = ("row_key", *keep)  # they pass Python as strings: whole numbers with nulls would become floats there
+    joined = rows.join(layouts, F.col("_of") == F.col("_layout"), "left").select(*[F.col(c).cast("string").alias(c) for c in kept], "_line", "_spec")
     types = {f.name: f.dataType.simpleString() for f in raw_rows.schema.fields}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in ("row_key", *keep)), "reason string"] + ([f"cells {CELL_SCHEMA}"] if typed else []))
+    schema = ", ".join([*(f"`{c}` string" for c in kept), "reason string"] + ([f"cells {CELL_SCHEMA}"] if typed else []))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from decimal import Decimal
@@ -227,7 +228,8 @@ def load_rows(raw_rows: DataFrame, raw_tables: DataFrame, typed: bool = True, ke
                 out["cells"] = cells
             yield out
 
-    return joined.mapInPandas(run, schema)
+    out = joined.mapInPandas(run, schema)
+    return out.select(*[F.col(c).cast(types[c]).alias(c) for c in kept], "reason", *(["cells"] if typed else []))
 
 
 def judge_outcomes(outcomes: DataFrame) -> DataFrame:
