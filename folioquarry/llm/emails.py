@@ -268,6 +268,13 @@ def fingerprint(words: str) -> int:
     return H.simhash(np.concatenate([h, H.shingles(h, 2)]))
 
 
+def _greets_another(m: Message, line: str) -> bool:
+    """Whether a greeting ends with the name of someone the message isn't written to."""
+    g = re.search(r"([A-ZÀ-Þ][^\W\d_]+)\W*$", line.strip())
+    named = g is not None and (_NAME_ONLY.match(line.strip()) or len(line.split()) > 1) and g.group(1).lower() not in ("all", "damen", "herren", "madame", "monsieur", "team", "everyone", "sir")
+    return bool(named and m.to and g.group(1) not in m.to)
+
+
 def decide(m: Message, sentences: list[tuple[int, int, bool, bool]]) -> list[int]:
     """Numbers of the newly written lines; ``sentences`` has (first line, last line, inherited, boilerplate) of the unquoted and earlier ones."""
     n = len(m.lines)
@@ -301,19 +308,20 @@ def decide(m: Message, sentences: list[tuple[int, int, bool, bool]]) -> list[int
         hello = next((m.lines[i].strip() for i in seg if m.labels[i] == "greeting"), "")
         to_me = me is not None and re.search(rf"\b{re.escape(me)}\W*$", hello.lower()) is not None and (not m.to or m.to[0].lower() != me)
         mine = any(m.labels[i] == "name" for i in seg)
-        if any(m.labels[i] == "other" for i in seg) or to_me and not held and not mine:
+        signed = any(m.labels[i] == "other" for i in seg)
+        if signed and not held or to_me and not held and not mine:
             continue  # someone else's text: they signed it, or it greets the sender
-        # Earlier text stands in one piece: from the greeting before its first known sentence to its last one.
-        low, high = (min(held), max(held)) if held else (n, -1)
+        # Earlier text stands in one piece: from the greeting before its first known sentence to its last one, or to its signature.
+        low, high = (min(held), n if signed else max(held)) if held else (n, -1)
         for i in seg:
             if m.labels[i] == "greeting":
-                fresh[i] = not to_me and not (held and low <= min(prose))
+                fresh[i] = not to_me and not (held and low <= min(prose)) and not _greets_another(m, m.lines[i])
             elif m.labels[i] in ("", "ps") and not low <= i <= high:
                 here = at.get(i, [])
                 fresh[i] = not here or any(not b for _, b in here)
     # Below a block of earlier text, which has no marks at its end.
     below = [i for i in range(m.start, n) if m.labels[i] == "earlier"]
-    known = {i for i in below if any(inh for inh, _ in at.get(i, []))}
+    known = {i for i in below if m.inner[i] in ("", "ps") and any(inh for inh, _ in at.get(i, []))}
     if below and not fresh[: below[0]].any():
         prose = [i for i in below if m.inner[i] in ("", "ps")]
         if known:  # the sender's words follow the last line of it that is known
