@@ -17,7 +17,7 @@ def p4_valid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed cells of the valid rows, one row per cell."""
     rows = delimited.load_rows(table(spark, sf_dir, "raw_rows"), table(spark, sf_dir, "raw_tables"), keep=("table_name",))
     cell = rows.where("reason is null").select("row_key", "table_name", F.posexplode("cells").alias("col_idx", "c"))
-    return cell.select("row_key", "table_name", "col_idx", "c.name", "c.type", "c.text", F.col("c.number").cast("decimal(38,6)").alias("number"), "c.day")
+    return cell.select("row_key", "table_name", "col_idx", "c.name", "c.type", "c.text", F.col("c.number").cast("double").alias("number"), F.date_format("c.day", "yyyy-MM-dd").alias("day"))
 
 
 _FIELDS = r"""
@@ -52,9 +52,9 @@ where not coalesce(((status = 'parsed' and doc_id is not null and error is null)
     "p4_valid_cells": f"""
 with {_FIELDS}, bad as (select distinct row_key from j where not ok)
 select row_key, table_name, cast(i - 1 as integer) as col_idx, header[i] as name, kind as type, case when not empty then value end as text,
-       case when not empty and kind = 'integer' then cast(value as decimal(38, 6))
-            when not empty and kind = 'amount' then cast((case when value[1] in ('-', '(') then '-' else '' end) || replace(regexp_replace(value, '[^0-9' || decimal_mark || ']', '', 'g'), decimal_mark, '.') as decimal(38, 6)) end as number,
-       case when not empty and kind = 'date' then cast(day_value as date) end as day
+       case when not empty and kind = 'integer' then cast(value as double)
+            when not empty and kind = 'amount' then cast((case when value[1] in ('-', '(') then '-' else '' end) || replace(regexp_replace(value, '[^0-9' || decimal_mark || ']', '', 'g'), decimal_mark, '.') as double) end as number,
+       case when not empty and kind = 'date' then strftime(day_value, '%Y-%m-%d') end as day
 from j where row_key not in (select row_key from bad)
 """,
 }

@@ -113,9 +113,9 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("query_id").agg(F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"))
 
 
-@query("select vec_id, list_transform(embedding, lambda x: cast(greatest(least(round_even(cast(x as double) / nullif(sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))), 0) * 127, 0), 127), -127) as tinyint)) as q from embeddings")
+@query("select vec_id, array_to_string(list_transform(embedding, lambda x: cast(greatest(least(round_even(cast(x as double) / nullif(sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))), 0) * 127, 0), 127), -127) as tinyint)), ' ') as q from embeddings")
 def vector_quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", search.quantized(search.unit(F.col("embedding"))).alias("q"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(search.quantized(search.unit(F.col("embedding"))).cast("array<string>"), " ").alias("q"))
 
 
 @query("""with d as (select doc_id, sha256(text) as h, strftime(modified_at, '%Y-%m-%d %H:%M:%S') as m from documents where text is not null), k as (select h, max({'m': coalesce(m, ''), 'd': doc_id}).d as keeper, count(*) as n from d group by 1)

@@ -169,15 +169,15 @@ def grep_line_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep_context(table(spark, sf_dir, "documents"), r"\b[0-9]+ copies\b", 1)
 
 
-@query("""select item_id, list_filter(f, lambda x, i: list_position(f, x) = i) as terms from (select item_id, list_concat(g[1:12], list_filter(g, lambda x: regexp_matches(x, '^[0-9]'))) as f from
+@query("""select item_id, array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), ' | ') as terms from (select item_id, list_concat(g[1:12], list_filter(g, lambda x: regexp_matches(x, '^[0-9]'))) as f from
   (select item_id, list_filter(regexp_extract_all(question, '[A-Za-z][A-Za-z0-9_-]{2,}|\\b[0-9]+(?:[,.][0-9]+)*\\b'), lambda x: lower(x) not in ('the','and','for','was','were','with','what','which','how','many','much','does','did')) as g from eval_items))""")
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "eval_items").select("item_id", T.terms(F.col("question")).alias("terms"))
+    return table(spark, sf_dir, "eval_items").select("item_id", F.array_join(T.terms(F.col("question")), " | ").alias("terms"))
 
 
-@query("select item_id, list_transform(regexp_extract_all(passage, '-?[0-9][0-9,]*(?:\\.[0-9]+)?'), lambda x: cast(replace(x, ',', '') as double)) as numbers from eval_items")
+@query("select item_id, cast(i - 1 as integer) as pos, cast(replace(n[i], ',', '') as double) as number from (select item_id, n, unnest(range(1, len(n) + 1)) as i from (select item_id, regexp_extract_all(passage, '-?[0-9][0-9,]*(?:\\.[0-9]+)?') as n from eval_items))")
 def query_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "eval_items").select("item_id", T.numbers(F.col("passage")).alias("numbers"))
+    return table(spark, sf_dir, "eval_items").select("item_id", F.posexplode(T.numbers(F.col("passage"))).alias("pos", "number"))
 
 
 @query("""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) as tok from documents where text is not null), n as (select doc_id, tok, count(*) as n from t group by 1, 2),

@@ -234,3 +234,38 @@ def test_row_kinds(spark):
     d = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b int")
     got = [r.k for r in d.orderBy("i").select(tables.row_kind(F.col("a"), F.col("b")).alias("k")).collect()]
     assert got == [c for _, _, c in cases]
+
+
+def test_pipeline(spark, tmp_path):
+    from folioquarry.operators import pipeline
+
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.txt").write_text("alpha " * 400)
+    (src / "b.md").write_text("# B\ntext")
+    (src / "copy.txt").write_text("alpha " * 400)
+    (src / "x.pdf").write_bytes(b"%PDF")
+    with zipfile.ZipFile(src / "z.zip", "w") as z:
+        z.writestr("in/c.txt", "inside")
+    c = str(tmp_path / "corpus")
+    assert pipeline.ingest(spark, str(src), c) == 1
+    corpus = lifecycle.Corpus(spark, c)
+    assert corpus.table("documents").count() == 3 and corpus.table("chunks").count() == 4
+    status = {r.source_path.rsplit("/", 1)[1]: r.status for r in corpus.table("ingest_outcomes").collect()}
+    assert status["x.pdf"] == "parse_failed" and status["c.txt"] == "parsed"
+    (src / "d.txt").write_text("delta")
+    assert pipeline.ingest(spark, str(src), c, injected={"pdf": lambda b: "from pdf"}) == 2
+    assert {r.text for r in corpus.table("documents").collect()} >= {"delta", "from pdf"} and corpus.table("documents").count() == 5
+    assert {r.status for r in corpus.table("ingest_outcomes").collect()} == {"parsed"}
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "x.pdf").write_bytes(b"%PDF")
+    with pytest.raises(ValueError):
+        pipeline.ingest(spark, str(bad), str(tmp_path / "none"))
+    n, first = pipeline.compact(corpus.table("documents"), 2)
+    assert n == 5 and len(first) == 2
+
+
+def test_image_rows(spark):
+    f = spark.createDataFrame([("a/b.PNG",), ("c.txt",)], "path string")
+    assert rows(textlike.image_rows(f), "path", "needs_transcription") == [("a/b.PNG", True)]
