@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioquarry.functions.text import dedup_tokens, simhash64
-from folioquarry.plans.runtime import cut
+from folioquarry.plans.runtime import cut, spread
 
 BANDS, RADIUS = 4, 3
 
@@ -29,7 +29,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``simhash`` of texts with tokens; others never near-match."""
-    d = docs.where("text is not null").select("doc_id", dedup_tokens(F.col("text")).alias("t")).where("size(t) > 0")
+    d = spread(docs.where("text is not null").select("doc_id", "text"), "doc_id").select("doc_id", dedup_tokens(F.col("text")).alias("t")).where("size(t) > 0")
     return d.select("doc_id", simhash64("t").alias("simhash"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioquarry.functions.text import fold_quote
+from folioquarry.plans.runtime import spread
 
 MAX_MATCHES = 8
 
@@ -59,7 +60,7 @@ def verify_quotes(quotes: DataFrame, docs: DataFrame, max_block: int = 20_000) -
                     rows.extend((q, d, min(c, MAX_MATCHES), c > MAX_MATCHES) for q, c in n.items())
                 yield pd.DataFrame(rows, columns=["quote_id", "doc_id", "matches", "truncated"])
 
-        part = docs.where("text is not null").select("doc_id", "text").mapInPandas(run, schema)
+        part = spread(docs.where("text is not null").select("doc_id", "text"), "doc_id").mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 

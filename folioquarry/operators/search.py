@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquarry.functions import text as T
+from folioquarry.plans.runtime import spread
 
 K1, B = 1.2, 0.75
 LARGE, SWEEP, VECTOR_BATCH = 1000, 20, 64
@@ -118,7 +119,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", k: int =
     _check_k(k)
     q = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t)))).alias("term"))
     asked = q.select("term").distinct()
-    w = chunks.select(key, T.words(F.col("text")).alias("w")).where("w is not null")
+    w = spread(chunks.select(key, "text"), key).select(key, T.words(F.col("text")).alias("w")).where("w is not null")
     corpus = w.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg_length"))
     few = [r.term for r in asked.limit(few_terms + 1).collect()]
     if len(few) <= few_terms:  # a few terms are filtered within each word list; many meet it by a join

@@ -54,12 +54,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names built from ``names`` that ``df`` doesn't have yet, for operators that add helpers to callers' rows."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        while n.lower() in taken:
-            n = "_" + n
-        taken.add(n.lower())
-        out.append(n)
-    return out
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores where its scan gives fewer partitions than there are cores: small inputs of few row groups.
+
+    For work that is heavy per row. At scale a scan has more partitions than cores, and nothing is shuffled.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)

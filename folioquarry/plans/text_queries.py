@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioquarry.functions import text as T
 from folioquarry.operators import layout
 from folioquarry.plans.registry import Registry
-from folioquarry.plans.runtime import table
+from folioquarry.plans.runtime import spread, table
 from folioquarry.sources import textlike
 
 R = Registry()
@@ -186,7 +186,7 @@ def query_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
   s as (select doc_id, sum(case when votes >= 0 then cast(1 as hugeint) << k else 0 end) as u from v group by 1)
   select d.doc_id, cast(case when u is null then 0 when u >= 9223372036854775808 then u - 18446744073709551616 else u end as bigint) as simhash from (select doc_id from documents where text is not null) d left join s using (doc_id)""")
 def simhash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"), "doc_id")
     return d.select("doc_id", T.simhash64(T.dedup_tokens(F.col("text"))).alias("simhash"))
 
 
