@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioquarry.llm import hashing as H
+from folioquarry.plans.runtime import spread
 
 WIDTH, RADIUS, SHINGLE = 12, 3, 5
 SLICE = 100_000
@@ -159,6 +160,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, radius: int = R
     schema = f"item_id {kind['item_id']}, doc_id string, longest_run int, similarity double"
     # Ids pass Python as strings: with nulls they would become floats there.
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").where("length(text) > 0")
+    texts = spread(texts, "doc_id")
     out = None
     for block in item_blocks(items, block_windows):
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquarry.llm.tokens import DEFAULT_TOKENIZERS, count_tokens
-from folioquarry.plans.runtime import cut
+from folioquarry.plans.runtime import cut, spread
 
 
 def sized(docs: DataFrame, tokenizers: str = DEFAULT_TOKENIZERS) -> DataFrame:
@@ -43,7 +43,8 @@ def sized(docs: DataFrame, tokenizers: str = DEFAULT_TOKENIZERS) -> DataFrame:
 
     copied = F.col("duplicate_of").isNotNull() if "duplicate_of" in docs.columns else F.lit(False)
     kind = dict(docs.dtypes)["doc_id"]  # ids pass Python as strings: with nulls they would become floats there
-    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.coalesce("text", F.lit("")).alias("text"), copied.alias("copied")).mapInPandas(
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.coalesce("text", F.lit("")).alias("text"), copied.alias("copied"))
+    out = spread(texts, "doc_id").mapInPandas(
         run, "doc_id string, source string, copied boolean, chars bigint, tokens bigint"
     )
     weight = F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.col("chars") / (F.col("tokens") * 4)))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from folioquarry.llm import hashing as H
 from folioquarry.operators.graph import components
-from folioquarry.plans.runtime import cut
+from folioquarry.plans.runtime import cut, spread
 
 ASCII_WORD = re.compile(r"[a-z0-9]+")
 SKETCH = 128
@@ -113,7 +113,7 @@ class PathJoin:
                 yield pd.DataFrame(rows, columns=["id", "n", "s1", "s2", "b1", "b2", "k1", "p2", "k2"])
 
         kind = dict(self.texts.dtypes)["id"]
-        return self.texts.mapInPandas(run, f"id {kind}, n int, s1 bigint, s2 bigint, b1 bigint, b2 bigint, k1 array<bigint>, p2 array<bigint>, k2 array<bigint>")
+        return spread(self.texts, "id").mapInPandas(run, f"id {kind}, n int, s1 bigint, s2 bigint, b1 bigint, b2 bigint, k1 array<bigint>, p2 array<bigint>, k2 array<bigint>")
 
     def _compare(self, rows: DataFrame) -> DataFrame:
         """Pairs within the buckets of ``rows`` (key, id, n, b1, b2) that sizes and sketches let pass."""
