@@ -37,7 +37,7 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))
 
 
-@query()
+@query("""with t as (select sum(length(text)) as whole from documents), o as (select source, sum(length(text)) as own from documents group by 1) select w.source from source_weights w left join o using (source), t where target_share * whole > max_repeats * coalesce(own, 0)""")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_sized(spark, sf_dir), table(spark, sf_dir, "source_weights")).where("capped").select("source")
 
@@ -107,7 +107,9 @@ def _near(spark: SparkSession, sf_dir: str, **how) -> neardup.PathJoin:
     return neardup.PathJoin(table(spark, sf_dir, "documents"), **how)
 
 
-@query()
+@query("""with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents where text is not null), s as (select distinct doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+  n as (select doc_id, count(*) as n from s group by 1), p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2)
+  select a as doc_id_a, b as doc_id_b from p join n x on x.doc_id = a join n y on y.doc_id = b where 10 * k >= 7 * (x.n + y.n - k)""")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, k=3, threshold=(7, 10)).found().select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
