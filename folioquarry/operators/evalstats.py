@@ -58,12 +58,47 @@ def bootstrap_diff(pairs: DataFrame, key: str, a: str, b: str, iterations: int =
     return per.agg(F.percentile("diff", F.lit((1 - level) / 2)).alias("low"), F.percentile("diff", F.lit((1 + level) / 2)).alias("high"))
 
 
+def at_ranks(df: DataFrame, value: str, ranks: dict[str, Column], *keys: str, slots: int = 1024) -> DataFrame:
+    """Values at given ranks (from 1, expressions of the group's size ``n``) of each group, exactly: ``keys``, ``n`` and a column per rank.
+
+    No group is sorted whole: values fall into ``slots`` equal parts of their range, the counts of the parts tell in
+    which one a rank lies, and only that part is sorted. Nulls and NaN don't count; groups without values have no row.
+    """
+    key = F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("bigint")
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, key.alias("_g"), F.col(value).alias("_v"))
+    group = ["_g", *keys]
+    b = d.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("n"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in group]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    j = d.alias("d").join(b.alias("b"), cond).select(*[F.col(f"d.{k}").alias(k) for k in group], "_v", "n", F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)) * slots), F.lit(0)).alias("_s"))
+    c = j.groupBy(*group, "n", "_s").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    held = [(r > F.col("_before")) & (r <= F.col("_before") + F.col("_c")) for r in ranks.values()]
+    some = held[0]
+    for h in held[1:]:
+        some = some | h
+    c = c.where(some).select(*[F.col(k).alias(f"c{k}") for k in group], F.col("_s").alias("_cs"), "_before")
+    on = F.col("_s") == F.col("_cs")
+    for k in group:
+        on = on & F.col(k).eqNullSafe(F.col(f"c{k}"))
+    rows = j.join(c, on).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_s").orderBy("_v")))
+    out = rows.groupBy(*group, "n").agg(*[F.max(F.when(F.col("_r") == r, F.col("_v"))).alias(name) for name, r in ranks.items()])
+    return out.drop("_g")
+
+
 def nearest_rank(df: DataFrame, value: str, q: float, *keys: str) -> DataFrame:
     """The value at rank ceil(q n) of each group, at least the first."""
-    w = Window.partitionBy(*keys)
-    rn = F.row_number().over(w.orderBy(value))
-    n = F.count(F.lit(1)).over(w)
-    return df.where(F.col(value).isNotNull()).withColumn("_r", rn).withColumn("_n", n).where(F.col("_r") == F.greatest(F.ceil(F.col("_n") * q), F.lit(1))).select(*keys, F.col(value).alias("value"))
+    return at_ranks(df, value, {"value": F.greatest(F.ceil(F.col("n") * q), F.lit(1))}, *keys).select(*keys, "value")
+
+
+def quantile(df: DataFrame, value: str, q: float, *keys: str) -> DataFrame:
+    """The quantile of each group with linear interpolation at rank (n - 1) q."""
+    at = (F.col("n") - 1) * q
+    r = at_ranks(df, value, {"_a": F.floor(at) + 1, "_b": F.ceil(at) + 1}, *keys)
+    return r.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (at - F.floor(at))).alias("value"))
 
 
 def confusion(pairs: DataFrame, gold: str, got: str, classes: list[str]) -> DataFrame:

@@ -54,8 +54,8 @@ def to_cells(df: DataFrame, table_name: str, key: str, doc_id=None) -> DataFrame
     return df.select(F.lit(table_name).alias("table_name"), F.col(key).cast("bigint").alias("row_idx"), F.explode(pairs).alias("c")).where("c.text_value is not null").select("table_name", "row_idx", "c.col_name", "c.text_value", "c.num_value")
 
 
-def zone_maps(cells: DataFrame, *keys: str, samples: int = 3) -> DataFrame:
-    """Per table and column: rows, nulls, numeric bounds, distinct texts and the first few of them (of 40 characters)."""
+def zone_maps(cells: DataFrame, *keys: str) -> DataFrame:
+    """Per table and column: rows, nulls, numeric bounds, distinct texts and the least and greatest of them (of 40 characters)."""
     keys = keys or ("table_name", "col_name")
     return cells.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("text_value").isNull()).alias("n_null"), F.min("num_value").alias("min_value"), F.max("num_value").alias("max_value"),

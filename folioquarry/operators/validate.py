@@ -98,11 +98,20 @@ def structural(tables: DataFrame, cells: DataFrame) -> DataFrame:
     ).withColumn("blocked", ~(F.col("grid_width") & F.col("no_empty_leading_columns") & (F.col("header_repeats") == 0)))
 
 
-def monotonic(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Whether the values of each group stand in ascending or descending order."""
-    w = Window.partitionBy(key).orderBy(order)
-    d = rows.where(F.col(value).isNotNull()).withColumn("_p", F.lag(value).over(w))
-    return d.groupBy(key).agg((F.bool_and(F.coalesce(F.col("_p") <= F.col(value), F.lit(True))) | F.bool_and(F.coalesce(F.col("_p") >= F.col(value), F.lit(True)))).alias("monotonic"), F.count(F.lit(1)).alias("n"))
+def monotonic(rows: DataFrame, key: str, order: str, value: str, width: int = 1 << 16) -> DataFrame:
+    """Whether the values of each key stand in ascending or descending order of a whole number.
+
+    Slots of the order are judged apart; between slots the last value of one meets the first of the next, so a key with
+    a third of all rows isn't sorted in one task. Null values are passed over.
+    """
+    d = rows.where(F.col(value).isNotNull()).withColumn("_s", F.floor(F.col(order) / width))
+    before = F.lag(value).over(Window.partitionBy(key, "_s").orderBy(order))
+    d = d.select(key, "_s", F.col(order).alias("_o"), F.col(value).alias("_v"), before.alias("_p"))
+    up, down = F.coalesce(F.col("_p") <= F.col("_v"), F.lit(True)), F.coalesce(F.col("_p") >= F.col("_v"), F.lit(True))
+    s = d.groupBy(key, "_s").agg(F.bool_and(up).alias("_up"), F.bool_and(down).alias("_down"), F.min_by("_v", "_o").alias("_first"), F.max_by("_v", "_o").alias("_last"), F.count(F.lit(1)).alias("_c"))
+    s = s.withColumn("_p", F.lag("_last").over(Window.partitionBy(key).orderBy("_s")))
+    rise, fall = F.col("_up") & F.coalesce(F.col("_p") <= F.col("_first"), F.lit(True)), F.col("_down") & F.coalesce(F.col("_p") >= F.col("_first"), F.lit(True))
+    return s.groupBy(key).agg((F.bool_and(rise) | F.bool_and(fall)).alias("monotonic"), F.sum("_c").alias("n"))
 
 
 def confidence(arithmetic, structural, prose=None):

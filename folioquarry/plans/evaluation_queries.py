@@ -130,7 +130,9 @@ def absence_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _types(spark, sf_dir).groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    e = _types(spark, sf_dir)
+    a = evalstats.quantile(e, "value", 0.5, "event_type").select("event_type", F.round("value", 6).alias("p50"))
+    return a.join(evalstats.quantile(e, "value", 0.95, "event_type").select("event_type", F.round("value", 6).alias("p95")), "event_type")
 
 
 @query("select event_type, value from (select event_type, value, row_number() over (partition by event_type order by value) as r, count(*) over (partition by event_type) as n from events where value is not null) where r = greatest(cast(ceil(n * 0.95) as bigint), 1)")

@@ -269,3 +269,31 @@ def test_pipeline(spark, tmp_path):
 def test_image_rows(spark):
     f = spark.createDataFrame([("a/b.PNG",), ("c.txt",)], "path string")
     assert rows(textlike.image_rows(f), "path", "needs_transcription") == [("a/b.PNG", True)]
+
+
+def test_ranks_equal_sorting(spark):
+    import random
+
+    rng = random.Random(1)
+    data = [("a", rng.choice([1.0, 2.0, rng.random() * 100])) for _ in range(200)] + [("b", 5.0)] * 7 + [("c", 1.0), (None, 3.0), ("d", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    groups = {}
+    for k, v in data:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    import math
+
+    for q in (0.0, 0.5, 0.95, 1.0):
+        got = {r.k: r.value for r in evalstats.nearest_rank(df, "v", q, "k").collect()}
+        assert got == {k: sorted(v)[max(math.ceil(len(v) * q), 1) - 1] for k, v in groups.items()}
+        cont = {r.k: r.value for r in evalstats.quantile(df, "v", q, "k").collect()}
+        for k, v in groups.items():
+            xs, at = sorted(v), (len(v) - 1) * q
+            lo, hi = math.floor(at), math.ceil(at)
+            assert abs(cont[k] - (xs[lo] + (xs[hi] - xs[lo]) * (at - lo))) < 1e-9
+    assert evalstats.quantile(df, "v", 0.5).first().value is not None and evalstats.quantile(df.limit(0), "v", 0.5).count() == 0
+
+
+def test_monotonic(spark):
+    d = spark.createDataFrame([("u", 1, 1), ("u", 70000, 2), ("u", 2, 1), ("d", 1, 9), ("d", 70000, 3), ("x", 1, 1), ("x", 2, 3), ("x", 70000, 2), ("n", 1, None)], "k string, o int, v int")
+    assert rows(validate.monotonic(d, "k", "o", "v"), "k", "monotonic") == [("d", True), ("u", True), ("x", False)]
