@@ -79,8 +79,10 @@ class Consensus:
             coded = votes.select("item", lookup[F.col("judge")].alias("j"), "label")
         else:
             coded = votes.join(self.spark.createDataFrame(list(place.items()), "judge string, j int"), "judge").select("item", "j", "label")
-        # An item's votes are one per annotator: a bounded group, held by no more than the annotators' number.
-        self.items = cut(coded.groupBy("item").agg(F.collect_list(F.struct("j", "label")).alias("v")).select("item", F.col("v.j").alias("js"), F.col("v.label").alias("labels")))
+        # An item's votes are one per annotator: a bounded group, held by no more than the annotators' number. The passes
+        # that follow are heavy per row, so the partitions are as many as the cores at least, however small the table is.
+        self.parts = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        self.items = cut(coded.repartition(self.parts, "item").groupBy("item").agg(F.collect_list(F.struct("j", "label")).alias("v")).select("item", F.col("v.j").alias("js"), F.col("v.label").alias("labels")))
         self.sigma: np.ndarray | None = None
         self.prior = np.full(labels, 1 / labels)
         for _ in range(passes if self.judges else 0):
@@ -115,7 +117,17 @@ class Consensus:
             yield pd.DataFrame({"g": [first.tobytes()], "h": [second.tobytes()], "m": [mass.tobytes()]})
 
         g, h, mass = np.zeros((m, k, k)), np.zeros((m, k, k)), np.zeros(k)
-        for r in self.items.mapInPandas(run, "g binary, h binary, m binary").toLocalIterator():
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = [0.0, 0.0, 0.0]
+            for pdf in batches:
+                total = [t + sum(np.frombuffer(x) for x in pdf[c]) for t, c in zip(total, "ghm")]
+            if not isinstance(total[0], float):
+                yield pd.DataFrame({c: [t.tobytes()] for t, c in zip(total, "ghm")})
+
+        sums = self.items.mapInPandas(run, "g binary, h binary, m binary")
+        if self.parts > 64:  # a second level of sums, so that the driver gets a few rows
+            sums = sums.repartition(8).mapInPandas(add, "g binary, h binary, m binary")
+        for r in sums.collect():
             g += np.frombuffer(r.g).reshape(m, k, k)
             h += np.frombuffer(r.h).reshape(m, k, k)
             mass += np.frombuffer(r.m)
