@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquarry.functions import text as T
-from folioquarry.plans.runtime import spread
+from folioquarry.plans.runtime import cut, spread
 
 K1, B = 1.2, 0.75
 LARGE, SWEEP, VECTOR_BATCH = 1000, 20, 64
@@ -120,12 +120,14 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", k: int =
     q = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t)))).alias("term"))
     asked = q.select("term").distinct()
     w = spread(chunks.select(key, "text"), key).select(key, T.words(F.col("text")).alias("w")).where("w is not null")
-    corpus = w.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg_length"))
     few = [r.term for r in asked.limit(few_terms + 1).collect()]
-    if len(few) <= few_terms:  # a few terms are filtered within each word list; many meet it by a join
-        hits = w.select(key, F.size("w").alias("length"), F.explode(F.filter("w", lambda x: x.isin(*few))).alias("term"))
-    else:
+    if len(few) <= few_terms:  # a few terms are filtered within each word list, and the texts are taken apart once
+        base = cut(w.select(key, F.size("w").alias("length"), F.filter("w", lambda x: x.isin(*few)).alias("hits")))
+        hits = base.select(key, "length", F.explode("hits").alias("term"))
+    else:  # many meet the words by a join
+        base = w.select(key, F.size("w").alias("length"))
         hits = w.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).join(asked, "term", "left_semi")
+    corpus = base.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
     p = hits.groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = p.join(df, "term").join(F.broadcast(corpus))  # one row

@@ -297,3 +297,26 @@ def test_ranks_equal_sorting(spark):
 def test_monotonic(spark):
     d = spark.createDataFrame([("u", 1, 1), ("u", 70000, 2), ("u", 2, 1), ("d", 1, 9), ("d", 70000, 3), ("x", 1, 1), ("x", 2, 3), ("x", 70000, 2), ("n", 1, None)], "k string, o int, v int")
     assert rows(validate.monotonic(d, "k", "o", "v"), "k", "monotonic") == [("d", True), ("u", True), ("x", False)]
+
+
+def test_bm25_paths_agree(spark):
+    import math
+
+    texts = ["red fence red", "blue fence", "red", None, "", "green " * 300 + "fence"]
+    c = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_id int, text string")
+    q = spark.createDataFrame([(1, ["Red", "fence", "red"]), (2, ["absent"]), (3, [])], "query_id int, terms array<string>")
+    a = search.bm25(c, q, k=3)
+    b = search.bm25(c, q, k=3, few_terms=0)
+    assert rows(a, "query_id", "chunk_id", "score", "rank") == rows(b, "query_id", "chunk_id", "score", "rank")
+    docs = {i: t.split() for i, t in enumerate(texts) if t is not None}
+    avg = sum(map(len, docs.values())) / len(docs)
+    score = {}
+    for term in ("red", "fence"):
+        df = sum(term in d for d in docs.values())
+        for i, d in docs.items():
+            tf = d.count(term)
+            if tf:
+                score[i] = score.get(i, 0) + math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / avg))
+    best = sorted(score, key=lambda i: (-round(score[i], 6), i))[:3]
+    assert [r.chunk_id for r in a.orderBy("rank").collect()] == best
+    assert search.bm25(c.limit(0), q).count() == 0
