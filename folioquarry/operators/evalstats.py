@@ -148,3 +148,23 @@ def run_identity(config: dict) -> str:
     import json
 
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def extraction_score(labels: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Labelled tables (doc, table_idx, headers, n_data_rows, must_pass) held against extracted ones (doc, table_idx, headers, n_data_rows): checks that apply and whether all hold.
+
+    A label without an expectation passes that check; a table that wasn't extracted fails.
+    """
+    m = manifest.select("doc", "table_idx", F.col("headers").alias("_h"), F.col("n_data_rows").alias("_n"), F.lit(True).alias("_x"))
+    j = labels.join(m, ["doc", "table_idx"], "left")
+    low = lambda c: F.transform(c, lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", ""))
+    extracted = F.col("_x").isNotNull()
+    headers = F.coalesce(F.size(F.array_except(low(F.col("headers")), low(F.col("_h")))) == 0, F.col("headers").isNull())
+    rows = F.coalesce(F.col("n_data_rows") == F.col("_n"), F.col("n_data_rows").isNull())
+    return j.select("doc", "table_idx", "must_pass", extracted.alias("extracted"), (extracted & headers).alias("headers_ok"), (extracted & rows).alias("rows_ok"), (extracted & headers & rows).alias("passed"))
+
+
+def pass_rate(scores: DataFrame) -> DataFrame:
+    """Share of the labels that must pass and do; 1 where none must."""
+    g = scores.agg(F.count_if(F.coalesce("must_pass", F.lit(True))).alias("required"), F.count_if(F.coalesce("must_pass", F.lit(True)) & F.col("passed")).alias("passed"))
+    return g.withColumn("rate", F.when(F.col("required") > 0, F.col("passed") / F.col("required")).otherwise(F.lit(1.0)))

@@ -83,3 +83,17 @@ def exact_rows(rows: DataFrame, docs: DataFrame) -> DataFrame:
     want = rows.select("row_id", "doc_id", F.trim("line").alias("line"))
     hit = want.join(lines.select("doc_id", "pos", F.trim("line").alias("line")), ["doc_id", "line"], "left").groupBy("row_id", "doc_id").agg(F.count("pos").alias("n"), F.min("pos").alias("pos"))
     return hit.select("row_id", "doc_id", F.when(F.col("n") == 1, "line").otherwise("page_only").alias("precision"), F.when(F.col("n") == 1, F.col("pos") + 1).alias("line_no"))
+
+
+MAX_QUOTES, MAX_QUOTE_CHARS = 3, 4000
+
+
+def final_verdict(answer, quotes):
+    """Whether an answer with its quotations (array<string>) may stand: ok, needs_quotes, too_many_quotes, quote_too_long or exempt (answers without a value need none)."""
+    from folioquarry.functions.text import answer_kind
+
+    q = F.filter(F.coalesce(quotes, F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    return (
+        F.when((F.size(q) == 0) & (answer_kind(answer) == "value"), "needs_quotes").when(F.size(q) == 0, "exempt").when(F.size(q) > MAX_QUOTES, "too_many_quotes")
+        .when(F.exists(q, lambda x: F.length(x) > MAX_QUOTE_CHARS), "quote_too_long").otherwise("ok")
+    )

@@ -149,3 +149,15 @@ class Corpus:
     def migrate(self, change: dict, names: Iterable[str]) -> int:
         """A new version with the changed tables rewritten by their functions and the others as they were."""
         return self.publish({n: change[n](self.table(n)) if n in change else self.table(n) for n in names})
+
+
+def export(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """Rows as CSV, JSON or Parquet files, one per partition; nested columns go into CSV as JSON text."""
+    if kind not in ("csv", "json", "parquet"):
+        raise ValueError("kind must be csv, json or parquet")
+    if kind == "csv":
+        nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
+        df = df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
+        df.write.option("header", "true").option("escape", '"').csv(path)
+    else:
+        getattr(df.write, kind)(path)

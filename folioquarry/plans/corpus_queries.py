@@ -84,4 +84,27 @@ def markdown_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(textlike.markdown_elements(md)).alias("seq", "e")).select("doc_id", "seq", "e.kind", "e.text", "e.level")
 
 
+@query("""with t as (select table_name, header, count(*) as n from raw_rows join raw_tables using (table_name) group by all), l as (select table_name as doc, case when hash_k % 4 = 1 then n + 1 else n end as want, n, hash_k from (select *, length(table_name) as hash_k from t))
+  select doc, cast(0 as integer) as table_idx, true as must_pass, hash_k % 5 <> 2 as extracted, hash_k % 5 <> 2 as headers_ok, hash_k % 5 <> 2 and want = n as rows_ok, hash_k % 5 <> 2 and want = n as passed from l""")
+def table_extraction_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivered tables against labels: some counts are off by one, some tables are missing."""
+    from folioquarry.operators import evalstats
+
+    t = table(spark, sf_dir, "raw_rows").groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).join(table(spark, sf_dir, "raw_tables").select("table_name", "header"), "table_name")
+    k = F.length("table_name")
+    labels = t.select(F.col("table_name").alias("doc"), F.lit(0).alias("table_idx"), F.col("header").alias("headers"), (F.col("n") + F.when(k % 4 == 1, 1).otherwise(0)).alias("n_data_rows"), F.lit(True).alias("must_pass"))
+    manifest = t.where(k % 5 != 2).select(F.col("table_name").alias("doc"), F.lit(0).alias("table_idx"), F.col("header").alias("headers"), F.col("n").alias("n_data_rows"))
+    return evalstats.extraction_score(labels, manifest)
+
+
+@query("""with d as (select distinct result_id, answer, note from field_results), k as (select *, regexp_replace(regexp_replace(lower(replace(coalesce(answer, ''), '_', ' ')), '\\s+', ' ', 'g'), '^[ .!`*"''\t\n]+|[ .!`*"''\t\n]+$', '', 'g') as key from d)
+  select result_id, case when coalesce(trim(note), '') <> '' then 'ok' when key in ('yes', 'no', 'n/a', 'na', 'not applicable', '', 'none', 'nil', 'unknown', 'blank', 'leave blank', 'not reached', 'not specified', 'needs review') or key = 'not found' or key like 'not found %' or key like 'not found:%' then 'exempt' else 'needs_quotes' end as verdict from k""")
+def final_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each answer may stand with its note as the only quotation."""
+    from folioquarry.operators import evidence
+
+    d = table(spark, sf_dir, "field_results").select("result_id", "answer", "note").distinct()
+    return d.select("result_id", evidence.final_verdict(F.col("answer"), F.array("note")).alias("verdict"))
+
+
 QUERIES, ORACLE = R.queries, R.oracle

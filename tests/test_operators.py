@@ -320,3 +320,23 @@ def test_bm25_paths_agree(spark):
     best = sorted(score, key=lambda i: (-round(score[i], 6), i))[:3]
     assert [r.chunk_id for r in a.orderBy("rank").collect()] == best
     assert search.bm25(c.limit(0), q).count() == 0
+
+
+def test_headline_and_text_numbers(spark):
+    cases = [("Revenue was $1,234.5 in 2022.", "1234.5"), ("In 2022 there were 3 segments.", "3"), ("0: no such item.", None), ("None", None), ("It rose 5% from 10.", "5"), (None, None), ("FY2016 only", None), ("June 30, then 4.5", "4.5")]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = [r.x for r in d.orderBy("i").select(certify.headline_number(F.col("t")).alias("x")).collect()]
+    assert got == [w for _, w in cases]
+    t = spark.createDataFrame([("total 1,234 due",), ("total 11,234 due",), ("total 1,234.5 due",), ("x1,234",)], "t string")
+    assert [r.x for r in t.select(certify.text_number(F.col("t"), "1,234").alias("x")).collect()] == [True, False, False, False]
+
+
+def test_final_verdict_and_scores(spark, tmp_path):
+    d = spark.createDataFrame([("5", []), ("no", None), ("5", ["q"]), ("5", ["a", "b", "c", "d"]), ("5", ["x" * 5000]), ("5", [None, " "])], "a string, q array<string>")
+    assert [r.v for r in d.select(evidence.final_verdict(F.col("a"), F.col("q")).alias("v")).collect()] == ["needs_quotes", "exempt", "ok", "too_many_quotes", "quote_too_long", "needs_quotes"]
+    labels_ = spark.createDataFrame([("a", 0, ["X y"], 3, True), ("b", 0, None, None, True), ("c", 0, ["z"], 1, False)], "doc string, table_idx int, headers array<string>, n_data_rows int, must_pass boolean")
+    m = spark.createDataFrame([("a", 0, ["x_y", "w"], 3), ("b", 0, ["q"], 9)], "doc string, table_idx int, headers array<string>, n_data_rows int")
+    s = evalstats.extraction_score(labels_, m)
+    assert rows(s, "doc", "passed") == [("a", True), ("b", True), ("c", False)] and evalstats.pass_rate(s).first().rate == 1.0
+    lifecycle.export(labels_, str(tmp_path / "x"), "csv")
+    assert spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "x")).count() == 3
