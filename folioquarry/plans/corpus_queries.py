@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioquarry.functions import dates
 from folioquarry.functions import numeric as N
-from folioquarry.operators import pipeline
+from folioquarry.operators import health, pipeline
 from folioquarry.plans.registry import Registry
 from folioquarry.plans.runtime import table
 from folioquarry.sources import textlike
@@ -107,4 +107,44 @@ def final_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("result_id", evidence.final_verdict(F.col("answer"), F.array("note")).alias("verdict"))
 
 
+_HEALTH = """with o as (select count(*) as files, count(*) filter (status = 'parse_failed') as failed, coalesce(sum(scanned_pages_untranscribed), 0) as untranscribed_pages from ingest_outcomes where scanned_pages_untranscribed >= 0),
+  t as (select count(*) as tables, count(*) filter (n >= 2) as checked, count(*) filter (n >= 2 and k % 5 = 0) as untrusted from (select l_orderkey as k, count(*) as n from lineitem group by 1)), c as (select * from o, t),
+  f as (select 'untranscribed_pages' as finding, case when untranscribed_pages > 0 then 'error' end as level from c union all select 'parse_failures', case when cast(failed as double) / files > 0.05 then 'error' when failed > 0 then 'warn' end from c
+  union all select 'validation_rate', case when checked > 0 and cast(checked - untrusted as double) / checked < 0.7 then case when checked >= 5 or checked = tables then 'error' else 'info' end end from c union all select 'untrusted_tables', case when untrusted > 0 and cast(checked - untrusted as double) / checked >= 0.7 then 'warn' end from c
+  union all select 'unchecked_tables', case when tables > checked then 'info' end from c)"""
+
+
+def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the files, and the checks of tables made of orders' lines."""
+    from folioquarry.operators import validate
+    from folioquarry.plans.table_queries import _with_totals
+
+    o = table(spark, sf_dir, "ingest_outcomes").where("scanned_pages_untranscribed >= 0")
+    a = o.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "parse_failed").alias("failed"), F.coalesce(F.sum("scanned_pages_untranscribed"), F.lit(0)).alias("untranscribed_pages"))
+    t = validate.flat_totals(_with_totals(spark, sf_dir), "table_name").agg(F.count(F.lit(1)).alias("tables"), F.count_if(F.col("passed").isNotNull()).alias("checked"), F.count_if(~F.col("passed")).alias("untrusted"))
+    return a.join(F.broadcast(t))  # one row each
+
+
+@query(f"{_HEALTH} select finding, level from f where level is not null")
+def health_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.findings(_counters(spark, sf_dir))
+
+
+@query(f"{_HEALTH} select count(*) filter (level = 'error') as errors, count(*) filter (level = 'warn') as warnings, case when count(*) filter (level = 'error') > 0 then 'blocked' when count(*) filter (level = 'warn') > 0 then 'degraded' else 'ok' end as grade from f")
+def health_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.grade(health.findings(_counters(spark, sf_dir)))
+
+
+@query("select n_linestatus as line_status, round(cast(checked - untrusted as double) / checked, 6) as rate from (select l_linestatus as n_linestatus, count(*) filter (n >= 2) as checked, count(*) filter (n >= 2 and k % 5 = 0) as untrusted from (select l_orderkey as k, min(l_linestatus) as l_linestatus, count(*) as n from lineitem group by 1) group by 1)")
+def validation_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of checked tables that hold, by the line status of their order."""
+    from folioquarry.operators import validate
+    from folioquarry.plans.table_queries import _with_totals
+
+    t = validate.flat_totals(_with_totals(spark, sf_dir), "table_name")
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("table_name")).agg(F.min("l_linestatus").alias("line_status"))
+    g = t.join(s, "table_name").groupBy("line_status").agg(F.count_if(F.col("passed").isNotNull()).alias("c"), F.count_if(~F.col("passed")).alias("u"))
+    return g.select("line_status", F.round(health.validation_rate(F.col("c"), F.col("u")), 6).alias("rate"))
+
+
 QUERIES, ORACLE = R.queries, R.oracle

@@ -169,6 +169,14 @@ def grep_line_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep_context(table(spark, sf_dir, "documents"), r"\b[0-9]+ copies\b", 1)
 
 
+@query("""select doc_id, cast(i as integer) as hit_line, cast(i as integer) as line_no, l[i] as text, true as is_hit from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, E'\\n') as l from documents)) where regexp_matches(l[i], '\\bclause [0-9]+\\.[0-9]+\\b') order by 1, 2 limit 200""")
+def grep_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 matching lines by document and line: a search with a cap on its hits."""
+    from folioquarry.operators.search import grep_context
+
+    return grep_context(table(spark, sf_dir, "documents"), r"\bclause [0-9]+\.[0-9]+\b", 0, 200)
+
+
 @query("""select item_id, array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), ' | ') as terms from (select item_id, list_concat(g[1:12], list_filter(g, lambda x: regexp_matches(x, '^[0-9]'))) as f from
   (select item_id, list_filter(regexp_extract_all(question, '[A-Za-z][A-Za-z0-9_-]{2,}|\\b[0-9]+(?:[,.][0-9]+)*\\b'), lambda x: lower(x) not in ('the','and','for','was','were','with','what','which','how','many','much','does','did')) as g from eval_items))""")
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
