@@ -319,3 +319,33 @@ def test_ids_with_nulls_stay_whole(spark):
     c = spark.createDataFrame([(big, None, 0, None, "x" * 2000), (None, big, 0, None, "x" * 2000)], "chunk_id bigint, doc_id bigint, char_start int, heading_path string, text string")
     assert {(r.chunk_id, r.doc_id) for r in chunking.pieces(c).collect()} == {(big, None), (None, big)}
     assert neardup.PathJoin(t, k=3).found().count() == 0
+
+
+def test_hot_groups(spark):
+    """A third of all rows are copies of one text, a third near-copies of another, a third of one source."""
+    rng = random.Random(11)
+    hot = " ".join(f"h{i}" for i in range(60))
+    near = [f"n{i}" for i in range(120)]
+    rows = [(i, hot) for i in range(60)]
+    for i in range(60, 120):
+        w = list(near)
+        w[rng.randrange(120)] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(50))) for i in range(120, 180)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = ids(neardup.PathJoin(df, k=3, threshold=(7, 10), bucket=8, max_depth=4).found(), "a", "b")
+    assert len(found) == len(set(found)) and set(found) == brute_pairs(rows, 3, 7, 10)
+    got = {r.id: r for r in neardup.PathJoin(df, k=3, threshold=(7, 10)).classes().collect()}
+    assert got[5].links == 59 and got[5].class_id == 0 and got[100].class_id == 60 and got[150].links == 0
+
+
+def test_hot_conversation(spark):
+    """All messages share one subject; a sentence that all have is boilerplate of no one and inherited by the later ones of other senders."""
+    rows = []
+    for i in range(40):
+        s = f"Ann{i % 4} Lee <a{i % 4}@lee-co.example>"
+        head = f"Re: One\nFrom: {s}\nTo: Bob Ray <bob@ray.example>\nDate: Tue, {1 + i % 28:02d} Jan 2024 {i // 28:02d}:00:00 +0000\n"
+        rows.append((i, "eml", head + f"The insurer valued the common annual ledger under protest.\nMy own sentence of number n{i}x stands below it all."))
+    d = spark.createDataFrame(rows, "doc_id bigint, parser string, text string")
+    got = ids(emails.new_lines(d, d.select("doc_id", F.lit(1).alias("page"), "text")), "doc_id", "line_no")
+    assert {k for k, n in got if n == 6} == set(range(40)) and (0, 5) in got and len([1 for _, n in got if n == 5]) < 10
