@@ -32,10 +32,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only where that is unset (tests, a laptop) a temporary folder is made and set.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        if not current.isDefined():
+            sc.setCheckpointDir(named)
         return named
-    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     made = tempfile.mkdtemp(prefix="folioquarry-")
