@@ -33,3 +33,21 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: Data
         if not moved:
             break
     return every.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def shared_pairs(members: DataFrame, group: str, member: str, least: int = 2, block: int = 256) -> DataFrame:
+    """``x``, ``y``, ``shared``: pairs of members (x < y) with the number of groups they share, at least ``least``.
+
+    Every group counts. Memberships are made distinct first, and members of fewer than ``least`` groups, who can be in no
+    pair, leave before the join. A group of more than ``block`` members is paired in blocks: each pair of blocks is a
+    join key of its own, so the largest group spreads over tasks as many small ones do. Null groups and members are none.
+    """
+    m = members.select(F.col(group).alias("_g"), F.col(member).alias("_m")).where("_g is not null and _m is not null").distinct()
+    m = cut(m.join(m.groupBy("_m").count().where(F.col("count") >= least).select("_m"), "_m", "left_semi"))
+    blocks = m.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    d = m.join(blocks, "_g").withColumn("_b", F.pmod(F.xxhash64("_m"), F.col("_n")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    a = d.select("_g", F.col("_m").alias("x"), F.col("_b").alias("_i"), others.alias("_j"))
+    b = d.select("_g", F.col("_m").alias("y"), F.col("_b").alias("_j"), others.alias("_i"))
+    pairs = a.join(b, ["_g", "_i", "_j"]).where("x < y")
+    return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)

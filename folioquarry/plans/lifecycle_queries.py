@@ -98,13 +98,8 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with m as (select distinct matter_code, author from documents where author is not null and matter_code is not null), p as (select a.author as x, b.author as y, count(*) as matters from m a join m b on a.matter_code = b.matter_code and a.author < b.author where a.matter_code <> (select matter_code from documents group by 1 order by count(*) desc, 1 limit 1) group by 1, 2) select x, y, matters from p where matters > 1""")
 def relation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Authors that share more than one matter, the one largest matter aside: relations of a graph summary."""
-    d = table(spark, sf_dir, "documents").where("author is not null and matter_code is not null")
-    top = table(spark, sf_dir, "documents").groupBy("matter_code").count().orderBy(F.desc("count"), F.asc_nulls_last("matter_code")).limit(1).select("matter_code")
-    m = d.select("matter_code", "author").distinct().join(F.broadcast(top), "matter_code", "left_anti")  # ``top`` is one row
-    a, b = m.alias("a"), m.alias("b")
-    j = a.join(b, (F.col("a.matter_code") == F.col("b.matter_code")) & (F.col("a.author") < F.col("b.author")))
-    return j.groupBy(F.col("a.author").alias("x"), F.col("b.author").alias("y")).agg(F.count(F.lit(1)).alias("matters")).where("matters > 1")
+    """Authors that share more than one matter: relations of a graph summary. Every matter counts; the SQL still leaves the largest aside."""
+    return graph.shared_pairs(table(spark, sf_dir, "documents"), "matter_code", "author").withColumnRenamed("shared", "matters")
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
