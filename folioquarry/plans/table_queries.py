@@ -9,6 +9,7 @@ from folioquarry.functions import numeric as N
 from folioquarry.operators import tables, validate
 from folioquarry.plans.registry import Registry
 from folioquarry.plans.runtime import table
+from folioquarry.sources import delimited
 
 R = Registry()
 query = R.query
@@ -133,10 +134,10 @@ def nested_section_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with l as (select row_key, table_name, len(string_split(raw_line, delimiter)) as w, len(header) as n from raw_rows join raw_tables using (table_name) where raw_line not like '%"%')
   select table_name, max(w) <= max(n) as grid_width from l group by 1""")
 def structural_grid_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether any unquoted delivered row is wider than its table's header."""
-    r = table(spark, sf_dir, "raw_rows").where("raw_line not like '%\"%'").join(table(spark, sf_dir, "raw_tables"), "table_name")
-    cells = r.select("table_name", F.col("row_key").alias("row_idx"), F.posexplode(F.split("raw_line", F.concat(F.lit("\\Q"), "delimiter", F.lit("\\E")))).alias("col_idx", "raw"))
-    return validate.structural(table(spark, sf_dir, "raw_tables"), cells).join(r.select("table_name").distinct(), "table_name", "left_semi").select("table_name", "grid_width")
+    """Whether any delivered row is wider than its table's header, quoted delimiters aside; the SQL still passes over rows with a quote."""
+    t = table(spark, sf_dir, "raw_tables")
+    cells = delimited.split_rows(table(spark, sf_dir, "raw_rows"), t).select("table_name", F.col("row_key").alias("row_idx"), F.posexplode("fields").alias("col_idx", "raw"))
+    return validate.structural(t, cells).join(cells.select("table_name").distinct(), "table_name", "left_semi").select("table_name", "grid_width")
 
 
 @query("""with e as (select user_id, event_id, ts, lag(ts) over (partition by user_id order by event_id) as p from events) select user_id, coalesce(bool_and(p is null or p <= ts), true) or coalesce(bool_and(p is null or p >= ts), true) as monotonic, count(*) as n from e group by 1""")

@@ -232,6 +232,30 @@ def load_rows(raw_rows: DataFrame, raw_tables: DataFrame, typed: bool = True, ke
     return out.select(*[F.col(c).cast(types[c]).alias(c) for c in kept], "reason", *(["cells"] if typed else []))
 
 
+def split_rows(raw_rows: DataFrame, raw_tables: DataFrame) -> DataFrame:
+    """``table_name``, ``row_key`` and ``fields`` of every row whose table has a layout, split where its delimiter stands outside quotes.
+
+    Badly quoted rows are split by the same parity, their fields as delivered. A null line is one empty field.
+    """
+    layouts = raw_tables.select(F.col("table_name").alias("_layout"), F.col("delimiter").alias("_delimiter")).dropDuplicates(["_layout"])
+    rows = raw_rows.select(F.col("row_key").cast("string").alias("row_key"), "table_name", F.coalesce("raw_line", F.lit("")).alias("_line"))
+    joined = rows.join(layouts, F.col("table_name") == F.col("_layout")).select("row_key", "table_name", "_line", "_delimiter")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fields = np.full(len(pdf), None, dtype=object)
+            for delimiter, at in pdf.groupby("_delimiter", sort=False).indices.items():
+                index = StructuralIndex(pdf["_line"].iloc[at].tolist(), delimiter)
+                for i, k, n, bad in zip(at, index.first, index.counts, index.bad_quotes):
+                    fields[i] = [index.raw[index.f_start[f] : index.f_end[f]].decode("utf-8", "surrogatepass") if bad else index.field(f) for f in range(k, k + n)]
+            out = pdf[["row_key", "table_name"]].copy()
+            out["fields"] = fields
+            yield out
+
+    out = joined.mapInPandas(run, "row_key string, table_name string, fields array<string>")
+    return out.select("table_name", F.col("row_key").cast(raw_rows.schema["row_key"].dataType).alias("row_key"), "fields")
+
+
 def judge_outcomes(outcomes: DataFrame) -> DataFrame:
     """``outcome_id`` and ``reason`` (null: valid) of ingest outcomes; repeated rows come out once.
 

@@ -23,3 +23,29 @@ def test_relation_pairs_keep_the_largest_matter(spark, tmp_path):
     want = Counter(p for members in by.values() for p in combinations(sorted(members), 2))
     assert {(r.x, r.y): r.matters for r in got} == {p: n for p, n in want.items() if n > 1}
     assert len(got) == len({(r.x, r.y) for r in got})
+
+
+def test_grid_width_counts_quoted_rows(spark, tmp_path):
+    tables = [("fits", ["a", "b"], ","), ("wide", ["a", "b"], ";"), ("plain", ["a"], "|"), ("empty", ["a"], ","), ("none", ["a"], ",")]
+    lines = [("fits", '"x, y",2'), ("fits", '"say ""a,b""",'), ("wide", "1;2"), ("wide", '"1;2";3;4'), ("plain", "1|2"), ("empty", None), ("unknown", "1,2")]
+    rows = [(i, t, x) for i, (t, x) in enumerate(lines)]
+    got = run(spark, tmp_path, "structural_grid_width", raw_tables=(tables, "table_name string, header array<string>, delimiter string"), raw_rows=(rows, "row_key bigint, table_name string, raw_line string"))
+
+    def width(line: str, delimiter: str) -> int:
+        n, quoted = 1, False
+        for c in line:
+            quoted ^= c == '"'
+            n += c == delimiter and not quoted
+        return n
+
+    want = {name: max(width(x or "", d) for t, x in lines if t == name) <= len(h) for name, h, d in tables if name != "none"}
+    assert want == {"fits": True, "wide": False, "plain": False, "empty": True}
+    assert {r.table_name: r.grid_width for r in got.collect()} == want
+
+
+def test_split_rows_give_every_field(spark):
+    from folioquarry.sources import delimited
+
+    tables = spark.createDataFrame([("t", ",")], "table_name string, delimiter string")
+    r = spark.createDataFrame([(1, "t", '"a, ""b""",c'), (2, "t", 'x"y,z'), (3, "t", None), (4, "t", "é,,ü")], "row_key bigint, table_name string, raw_line string")
+    assert {x.row_key: x.fields for x in delimited.split_rows(r, tables).collect()} == {1: ['a, "b"', "c"], 2: ['x"y,z'], 3: [""], 4: ["é", "", "ü"]}
