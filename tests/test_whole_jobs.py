@@ -49,3 +49,11 @@ def test_split_rows_give_every_field(spark):
     tables = spark.createDataFrame([("t", ",")], "table_name string, delimiter string")
     r = spark.createDataFrame([(1, "t", '"a, ""b""",c'), (2, "t", 'x"y,z'), (3, "t", None), (4, "t", "é,,ü")], "row_key bigint, table_name string, raw_line string")
     assert {x.row_key: x.fields for x in delimited.split_rows(r, tables).collect()} == {1: ['a, "b"', "c"], 2: ['x"y,z'], 3: [""], 4: ["é", "", "ü"]}
+
+
+def test_fts_postings_hold_every_term(spark, tmp_path):
+    texts = [(1, "The invoice, the Invoice"), (2, "Straße ÉTÉ x_1 the"), (3, None), (4, "..."), (5, "clause 12.50 the")]
+    got = run(spark, tmp_path, "fts_postings", chunks=(texts, "chunk_id bigint, text string")).collect()
+    words = {1: ["the", "invoice", "the", "invoice"], 2: ["straße", "été", "x_1", "the"], 5: ["clause", "12", "50", "the"]}
+    assert {(r.term, r.chunk_id): (r.length, r.tf) for r in got} == {(t, k): (len(w), n) for k, w in words.items() for t, n in Counter(w).items()}
+    assert len(got) == sum(len(set(w)) for w in words.values())
