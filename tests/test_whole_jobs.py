@@ -57,3 +57,17 @@ def test_fts_postings_hold_every_term(spark, tmp_path):
     words = {1: ["the", "invoice", "the", "invoice"], 2: ["straße", "été", "x_1", "the"], 5: ["clause", "12", "50", "the"]}
     assert {(r.term, r.chunk_id): (r.length, r.tf) for r in got} == {(t, k): (len(w), n) for k, w in words.items() for t, n in Counter(w).items()}
     assert len(got) == sum(len(set(w)) for w in words.values())
+
+
+def test_parsers_meet_every_document(spark, tmp_path):
+    docs = [(i, p, f"Über {p} <{i}>", f"first & <b> of {p}\n\nlast  line é") for i, p in enumerate(("docx", "html", "text", "eml", "docling", "csv", None))]
+    docs += [(7, "xlsx", None, "only text"), (8, "eml", "no text", None), (9, "docling", "long", "word " * 20_000)]
+    table = (docs, "doc_id bigint, parser string, title string, text string")
+    tidy = lambda x: " ".join(x.split())
+    md = [tuple(r) for r in run(spark, tmp_path, "markdown_elements", documents=table).collect()]
+    want = [(k, i, "text" if i else "heading", tidy(x), None if i else 1) for k, _, t, s in docs if s for i, x in enumerate([t or "untitled", *s.split("\n\n")])]
+    assert sorted((k, i, kind, tidy(x), level) for k, i, kind, x, level in md) == sorted(want)
+    html = {r.doc_id: r.visible for r in run(spark, tmp_path, "html_visible_text").collect()}
+    assert html == {k: "\n".join(y for y in map(tidy, [t or "", *s.split("\n")]) if y) for k, _, t, s in docs if s}
+    mail = {r.doc_id: (r.subject, r.body) for r in run(spark, tmp_path, "eml_bytes_parse").collect()}
+    assert mail == {k: (t or "none", s or "") for k, _, t, s in docs}
