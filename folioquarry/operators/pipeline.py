@@ -103,12 +103,24 @@ def infer_headers(grid: DataFrame, measures: str = MEASURE) -> DataFrame:
     return j.select("table_name", F.when(F.col("flags") > 0, F.col("flags")).when(one, 1).otherwise(0).cast("int").alias("n_header"))
 
 
-def schema_map(a: DataFrame, b: DataFrame, near: float = 0.34) -> DataFrame:
-    """Proposed correspondences of the columns (table_name, name) of two sets of tables: the nearest name of each by edit distance over length. Proposals only."""
+def schema_map(a: DataFrame, b: DataFrame | None = None, near: float = 0.34) -> DataFrame:
+    """Proposed correspondences of the columns (table_name, name) of two sets of tables: the nearest name of each by edit distance over length. Proposals only.
+
+    Without ``b`` all tables of ``a`` are held against each other, ``table_a`` < ``table_b``. Distinct names are compared
+    once, those whose lengths allow the distance: an edit distance is at least the difference of the lengths.
+    """
+    if not 0 <= near <= 0.9:
+        raise ValueError("near must be from 0 to 0.9")
     x = a.select(F.col("table_name").alias("table_a"), F.col("name").alias("a"))
-    y = b.select(F.col("table_name").alias("table_b"), F.col("name").alias("b"))
+    y = (a if b is None else b).select(F.col("table_name").alias("table_b"), F.col("name").alias("b"))
     d = F.levenshtein(F.lower("a"), F.lower("b")) / F.greatest(F.length("a"), F.length("b"), F.lit(1))
-    block = lambda c: F.substring(F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), 1, 1)
-    j = x.withColumn("_k", block("a")).join(y.withColumn("_k", block("b")), "_k").withColumn("distance", F.round(d, 6)).where(F.col("distance") <= near)
+    length = lambda c: F.length(F.lower(c))
+    reach = 1 - near - 1e-6  # the distance is compared rounded
+    lengths = F.sequence(F.floor(length("a") * reach), F.ceil(length("a") / reach))
+    names = x.select("a").distinct().withColumn("_k", F.explode(lengths)).join(y.select("b").distinct().withColumn("_k", length("b").cast("bigint")), "_k")
+    names = names.withColumn("distance", F.round(d, 6)).where(F.col("distance") <= near).drop("_k")
+    j = x.join(names, "a").join(y, "b")
+    if b is None:
+        j = j.where("table_a < table_b")
     rn = F.row_number().over(Window.partitionBy("table_a", "a", "table_b").orderBy("distance", "b"))
     return j.withColumn("_r", rn).where("_r = 1").select("table_a", "a", "table_b", "b", "distance")

@@ -71,3 +71,25 @@ def test_parsers_meet_every_document(spark, tmp_path):
     assert html == {k: "\n".join(y for y in map(tidy, [t or "", *s.split("\n")]) if y) for k, _, t, s in docs if s}
     mail = {r.doc_id: (r.subject, r.body) for r in run(spark, tmp_path, "eml_bytes_parse").collect()}
     assert mail == {k: (t or "none", s or "") for k, _, t, s in docs}
+
+
+def test_schema_proposals_hold_all_tables(spark, tmp_path):
+    heads = {"t_a": ["Amount", "Date", "Date", "x"], "t_k": ["amounts", "mount", "Dates", "", None], "t_z": ["Xmount", "date", "account no", ""], "u": ["account-no", "updated"]}
+    rows = run(spark, tmp_path, "schema_proposals", raw_tables=(list(heads.items()), "table_name string, header array<string>")).collect()
+
+    def edits(p: str, q: str) -> int:
+        row = list(range(len(q) + 1))
+        for i, c in enumerate(p, 1):
+            last, row = row, [i]
+            for j, e in enumerate(q, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != e)))
+        return row[-1]
+
+    want = {}
+    for s, t in combinations(sorted(heads), 2):
+        for p in filter(lambda n: n is not None, heads[s]):
+            near = sorted((round(edits(p.lower(), q.lower()) / max(len(p), len(q), 1), 6), q) for q in heads[t] if q is not None)
+            if near and near[0][0] <= 0.34:
+                want[s, p, t] = near[0][::-1]
+    assert {(r.table_a, r.a, r.table_b): (r.b, r.distance) for r in rows} == want and len(rows) == len(want)
+    assert want["t_a", "Amount", "t_z"] == ("Xmount", round(1 / 6, 6))  # another first letter
