@@ -85,21 +85,27 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def window_simhash(h: np.ndarray, width: int) -> np.ndarray:
-    """SimHash of every window of ``width`` (at most 127) word hashes: a bit is set where most words of the window set it."""
-    n = len(h) - width + 1
+def window_simhash(h: np.ndarray, width: int, step: int = 1) -> np.ndarray:
+    """SimHash of the windows of ``width`` (at most 127) word hashes at every ``step``-th word: a bit is set where most words of the window set it.
+
+    ``width`` is a multiple of ``step``.
+    """
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+    if step > 1:
+        bits = bits[: len(bits) // step * step].reshape(-1, step, 64).sum(1, dtype=np.uint8)
+    many = width // step
+    n = len(bits) - many + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
     total = np.zeros((n, 64), dtype=np.uint8)
-    done, step, power = 0, 1, bits  # ``power`` holds sums over ``step`` words
-    while done < width:
-        if width & step:
+    done, size, power = 0, 1, bits  # ``power`` holds sums over ``size`` places
+    while done < many:
+        if many & size:
             total += power[done : done + n]
-            done += step
-        step *= 2
-        if done < width:
-            power = power[: len(power) - step // 2] + power[step // 2 :]
+            done += size
+        size *= 2
+        if done < many:
+            power = power[: len(power) - size // 2] + power[size // 2 :]
     return np.packbits(total * 2 > width, axis=1).view(np.uint64).ravel()
 
 

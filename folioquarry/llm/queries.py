@@ -81,15 +81,16 @@ def p5_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that the search verified, and that hold a run of 12 words."""
     got = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return got.where(F.col("longest_run") >= leakage.WIDTH).select("item_id", "doc_id")
 
 
 @query()
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaks with their extent: a shared run of 12 words, or a weighted-shingle similarity of 0.8."""
+    """Leaks with their extent: items of which a unit, or the whole, is in a document with a weighted-shingle similarity of 0.8."""
     got = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    return got.where((F.col("longest_run") >= leakage.WIDTH) | (F.col("similarity") >= 0.8)).select("item_id", "doc_id", "longest_run", F.round("similarity", 4).alias("similarity"))
+    return got.select("item_id", "doc_id", "longest_run", F.round("unit_share", 4).alias("unit_share"), F.round("item_share", 4).alias("item_share"))
 
 
 @query()

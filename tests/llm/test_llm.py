@@ -224,7 +224,7 @@ def test_leaks_equal_brute_force(spark):
             if any(tuple(pw[j : j + 12]) in grams for j in range(len(pw) - 11)):
                 want.add((i, d))
     assert got == want and (0, 102) in got and (1, 103) in got
-    assert set(ids(leakage.leaks(df, it, block_windows=50).where("longest_run >= 12"), "item_id", "doc_id")) == want
+    assert set(ids(leakage.leaks(df, it, block_words=300).where("longest_run >= 12"), "item_id", "doc_id")) == want
     assert leakage.leaks(df, it.limit(0)).count() == 0 and leakage.leaks(df.limit(0), it).count() == 0
 
 
@@ -239,12 +239,62 @@ def test_window_simhash_equals_definition():
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
         want = [np.packbits(bits[i : i + width].sum(0) * 2 > width).view(np.uint64)[0] for i in range(31 - width)]
         assert list(hashing.window_simhash(h, width)) == want
-    index = leakage.ItemIndex([(0, " ".join(f"w{i}" for i in range(40)))])
-    probe = index.sims.copy()
-    probe[3] ^= np.uint64(0b111)
-    who, which = index.near(probe)
-    want = {(i, j) for i in range(len(probe)) for j in range(len(index.sims)) if int(probe[i] ^ index.sims[j]).bit_count() <= 3}
-    assert set(zip(who.tolist(), which.tolist())) == want
+        if width % 3 == 0:
+            assert list(hashing.window_simhash(h, width, 3)) == want[::3]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 4, 7, 9])
+def test_hamming_index_equals_all_pairs(radius):
+    rng = np.random.default_rng(radius)
+    sims = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    probe = sims[rng.integers(0, 300, 400)].copy()
+    for i in range(400):
+        for bit in rng.choice(64, int(rng.integers(0, 12)), replace=False):
+            probe[i] ^= np.uint64(1) << np.uint64(bit)
+    who, which = leakage.HammingIndex(sims, radius).near(probe)
+    want = [(i, j) for i in range(400) for j in range(300) if int(probe[i] ^ sims[j]).bit_count() <= radius]
+    assert list(zip(who.tolist(), which.tolist())) == want and len(want) > 10
+
+
+def _edited(rng, words, every):
+    return [f"e{rng.randrange(10**6)}" if i % every == every // 2 else w for i, w in enumerate(words)]
+
+
+def test_near_copies_of_whole_items_need_the_item_sized_windows(spark):
+    """Passages with a word in 30 exchanged: the item-sized fingerprints alone find them, and nothing does without windows."""
+    rng = random.Random(61)
+    items = [(i, " ".join(f"v{rng.randrange(10**5)}" for _ in range(100))) for i in range(60)]
+    docs = []
+    for d in range(60):
+        near = _edited(rng, items[d][1].split(), 30)
+        docs.append((d, text(rng, 60) + " " + " ".join(near) + " " + text(rng, 60)))
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+
+    def share(d, i):
+        a = {tuple(x) for x in zip(*[hashing.words(items[i][1])[k:] for k in range(5)])}
+        b = {tuple(x) for x in zip(*[hashing.words(docs[d][1])[k:] for k in range(5)])}
+        return len(a & b) / len(a)
+
+    want = {(d, d) for d in range(60) if share(d, d) >= 0.8}
+    both = leakage.leaks(df, it)
+    got = set(ids(both.where("item_share >= 0.8"), "item_id", "doc_id"))
+    assert len(want) > 40 and len(got & want) >= 0.9 * len(want) and not got - want
+    assert not set(ids(leakage.leaks(df, it, radius=-1, item_radius=-1), "item_id", "doc_id"))
+    only = set(ids(leakage.leaks(df, it, radius=-1).where("item_share >= 0.8"), "item_id", "doc_id"))
+    assert len(only) >= 0.9 * len(want)
+    none = spark.createDataFrame([(1, "x y"), (None, None)], "item_id bigint, passage string")
+    assert leakage.leaks(df, none).count() == 0
+
+
+def test_similarity_gates_the_candidates():
+    """What the fingerprints bring up but the shingles don't bear out is not a leak, whatever the gate's bound let through."""
+    w = [f"w{i}" for i in range(40)]
+    h = hashing.hashed(w)
+    index = leakage.ItemIndex([(0, h, np.ones(36, np.float32))])
+    mixed = " ".join(w[i + 1] if i % 2 == 0 else w[i - 1] for i in range(40))  # neighbours exchanged: the same words, no shingle
+    sims = hashing.window_simhash(hashing.hashed(hashing.words(mixed)), 24, 4)
+    assert len(index.levels[1][2].near(sims)[0]) and leakage.scan([mixed], index) == []
+    assert leakage.scan([" ".join(w)], index) == [(0, 0, 40, 1.0, 1.0)]
 
 
 # p7
