@@ -36,7 +36,7 @@ from folioquarry.llm import hashing as H
 from folioquarry.plans.runtime import cut, spread
 
 WIDTH, RADIUS, SHINGLE, LEAST = 12, 3, 5, 0.8
-SIZES, STRIDE, ITEM_RADIUS = (24, 48, 96), 4, 7
+SIZES, STRIDE, ITEM_RADIUS = (24, 48, 96), 8, 7
 SLICE, PAIRS = 100_000, 2_000_000
 
 
