@@ -79,6 +79,13 @@ def p5_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _consensus(spark, sf_dir).reliability().select("judge", F.round("right_on_0", 4).alias("specificity"), F.round("right_on_1", 4).alias("sensitivity"))
 
 
+@query()
+def p5_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regularisation fitted, the passes over all items and the dual they reached."""
+    m = _consensus(spark, sf_dir)
+    return spark.createDataFrame([(m.alpha, m.beta, len(m.dual), round(m.dual[-1], 3) if m.dual else None)], "alpha double, beta double, passes int, dual double")
+
+
 @query()
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that the search verified, and that hold a run of 12 words."""

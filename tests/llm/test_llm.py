@@ -186,6 +186,60 @@ def test_consensus_finds_truth_and_judges(spark):
     assert got[three].agreement == pytest.approx(0.4) and got[three].votes == 5
 
 
+def _difficult(seed=8, items=1500, judges=15):
+    """Items each draw towards a wrong label by their own strength; annotators are good."""
+    rng = np.random.default_rng(seed)
+    skill, truth = rng.uniform(1.5, 3.0, judges), rng.integers(0, 2, items)
+    lure = np.where(rng.random(items) < 0.3, rng.normal(3.0, 1.0, items), 0.0)
+    rows = []
+    for i in range(items):
+        for j in rng.choice(judges, 9, replace=False):
+            right = rng.random() < 1 / (1 + np.exp(-(skill[j] - lure[i])))
+            rows.append((i, f"j{j}", int(truth[i] if right else 1 - truth[i])))
+    return truth, rows
+
+
+def test_item_tilts_are_fitted_and_matter(spark):
+    truth, rows = _difficult()
+    df = spark.createDataFrame(rows, "item bigint, judge string, label int")
+    fitted, without = consensus.Consensus(df, alpha=1.0), consensus.Consensus(df, alpha=1.0, beta=consensus.OFF)
+    assert fitted.beta < consensus.BETAS[-1]  # the hidden votes tell that the items differ
+    a = {r.item: r.confidence for r in fitted.consensus().collect()}
+    b = {r.item: r.confidence for r in without.consensus().collect()}
+    assert max(abs(a[i] - b[i]) for i in a) > 0.05
+    coins = consensus.Consensus(spark.createDataFrame(simulated(items=1500)[2], "item bigint, judge string, label int"))
+    assert coins.beta > fitted.beta
+
+
+def test_dual_rises_and_equals_its_definition(spark):
+    _, _, rows = simulated(seed=5, items=200)
+    df = spark.createDataFrame(rows, "item bigint, judge string, label int")
+    m = consensus.Consensus(df, alpha=1.0, beta=2.0, tuning=150, tolerance=1e-9)
+    assert len(m.dual) > 2 and all(b >= a for a, b in zip(m.dual, m.dual[1:]))
+    v = consensus.Votes(np.full(200, 5), np.array([int(np.searchsorted(sorted({r[1] for r in rows}), r[1])) for r in rows]), np.array([r[2] for r in rows]))
+    here = consensus.fit_here(v, 12, 2, 1.0, 2.0, 60, 1e-9)
+    assert here.dual[-1] == pytest.approx(m.dual[-1], rel=1e-4)
+    q, tau, logp, part = v.fit_items(here.sigma[v.judge], here.prior, 2.0)
+    by_hand = 0.0
+    for j in range(200):
+        mine = np.flatnonzero(v.item == j)
+        joint = [here.prior[c] * np.prod([np.exp(logp[x, c, v.label[x]]) for x in mine]) for c in range(2)]
+        by_hand += np.log(sum(joint))
+        assert q[j] == pytest.approx(np.array(joint) / sum(joint))
+    assert part == pytest.approx(by_hand - (tau**2).sum())
+
+
+def test_annotators_beyond_the_bound_as_below(spark):
+    _, _, rows = simulated(seed=6)
+    df = spark.createDataFrame([(f"i{i}", j, v) for i, j, v in rows], "item string, judge string, label int")
+    near, far = consensus.Consensus(df, alpha=1.0, beta=4.0), consensus.Consensus(df, alpha=1.0, beta=4.0, max_annotators=3)
+    assert far.far and not near.far and far.dual[-1] == pytest.approx(near.dual[-1], rel=1e-4)
+    a, b = ({r.item: r.consensus for r in m.consensus().collect()} for m in (near, far))
+    assert a == b
+    a, b = ({r.judge: r.right_on_1 for r in m.reliability().collect()} for m in (near, far))
+    assert a == pytest.approx(b, abs=0.02) and len(a) == 12
+
+
 def test_latest_votes(spark):
     h = "array<struct<judge string, judged_at timestamp, verdict boolean>>".replace("judge s", "judge: s").replace("judged_at t", "judged_at: t").replace("verdict b", "verdict: b")
     d = spark.sql("""select 1 as result_id, array(named_struct('judge', ' A', 'judged_at', timestamp'2024-01-01', 'verdict', true), named_struct('judge', 'a', 'judged_at', timestamp'2024-01-02', 'verdict', false),
