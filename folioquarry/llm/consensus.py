@@ -49,8 +49,13 @@ def latest_votes(results: DataFrame) -> DataFrame:
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+    """Over the last axis, which is short: label by label."""
+    parts = [x[..., a] for a in range(x.shape[-1])]
+    top = parts[0]
+    for part in parts[1:]:
+        top = np.maximum(top, part)
+    whole = sum(np.exp(part - top) for part in parts)
+    return x - (top + np.log(whole))[..., None]
 
 
 class Votes:
@@ -62,7 +67,7 @@ class Votes:
         self.item = np.repeat(np.arange(self.n), sizes)
 
     def per_item(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x, self.start[:-1], axis=0)
+        return np.stack([np.bincount(self.item, column, self.n) for column in x.T], axis=1)
 
     def majority(self, k: int) -> np.ndarray:
         q = self.per_item(np.eye(k)[self.label]) + 0.1
@@ -73,9 +78,10 @@ class Votes:
         k = len(prior)
         tau = np.zeros((self.n, k, k))
         logp = _log_softmax(sigma)
+        votes = np.arange(len(self.label))
         count = np.diff(self.start).astype(float)[:, None]
         for turn in range(1 if beta == OFF else rounds + 1):
-            joint = np.log(prior) + self.per_item(np.take_along_axis(logp, self.label[:, None, None], 2)[:, :, 0])
+            joint = np.log(prior) + self.per_item(logp[votes, :, self.label])
             top = joint.max(1, keepdims=True)
             whole = top + np.log(np.exp(joint - top).sum(1, keepdims=True))
             q = np.exp(joint - whole)
