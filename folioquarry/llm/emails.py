@@ -1,24 +1,32 @@
 """What the sender of an email newly wrote (p1).
 
 Every email is parsed by its layout first: own header and attachment lines, quote prefixes, introductions and header
-blocks of earlier messages, closing formulas, signatures and device lines. What is left falls into sentences, which get
-64-bit SimHash fingerprints of their word pairs. Two things are then looked up among all emails:
-
-* inherited sentences: the fingerprints are partitioned by ``BLOCKS`` blocks of bits within a conversation (the subject
-  without its reply marks); sentences of an earlier message by someone else that share a block are compared in Hamming
-  distance and verified by edit distance;
-* boilerplate: sentences that one sender's domain repeats in several conversations, or several domains repeat.
-
-Copies of one sentence are pre-aggregated to its earliest occurrence per sender before the join, so that a sentence that
-fills a third of all emails is one row there. The sentences of an email that are neither, with greetings and
-postscripts, are newly written.
-
-Defined cases: emails without text or body have no lines; delivered-twice pages are read once; a missing or unreadable
-date makes a message earlier than none; line numbers count every line of the page from 1.
+blocks of earlier messages, closing formulas, names and contact lines. What is left falls into sentences. Two passes over
+all emails then decide about them by 64-bit SimHash fingerprints of their character n-grams:
+
+* ``inherited``: sentences that an earlier message has, nearly word for word. A message's sentences are held against
+  those of its conversation (the subject without its reply marks) and those of the message it answers
+  (``parent_doc_id``), whatever its subject. Fingerprints within ``RADIUS`` (7) bits agree on one of four blocks of 16
+  bits but for one bit, so the tables hold each fingerprint under all flips of a block; the length's class is part of the
+  key. Candidates are verified by edit distance (``EDITS`` a character). Sentences are inherited from other senders'
+  earlier messages, or copies of a message would erase each other; of each sentence of a conversation the two earliest
+  senders are kept, which is all that is ever asked for, so a sentence that fills a third of all emails is one row.
+* ``boilerplate``: notices, disclaimers, warnings and device lines are no list of phrases but what repeats: units
+  (sentences that fill their lines, and lines) with the names of the parties masked, that stand where notices stand (above
+  the text, below a signature, or last) in most of their places, and that a domain has in ``RATE`` of its conversations,
+  or ``WIDE`` of all domains have, and two at least. Units in such a place that are within the radius of one that
+  repeats, and within the edit distance, count with it.
+
+Short sentences are inherited where they stand next to a longer one that is.
+
+Defined cases: emails without text or body have no lines; emails without header lines are all body; delivered-twice pages
+are read once; a message without a readable date is no one's source, but for an answer that names it as its parent, and
+takes every dated message as earlier; line numbers count every line of the page from 1.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from datetime import timezone
@@ -30,13 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioquarry.llm import hashing as H
-from folioquarry.plans.runtime import cut
+from folioquarry.plans.runtime import cut, small
 
-BLOCKS, RADIUS = 4, 3
+BLOCKS, RADIUS, GRAM = 4, 7, 3
 EDITS = 0.12  # edit distance per character
-SPREAD = 2  # conversations of a domain, or domains, from which a sentence counts as boilerplate
+LAST = 4  # lines before earlier text or the end among which notices stand
+RATE, WIDE = 0.03, 0.02  # share of a domain's conversations, or of all domains, from which a unit counts as boilerplate
 
-# Words that mail programs, closings, greetings and notices use, in four languages.
+# Words that mail programs, closings and greetings use, in four languages.
 HEADERS = ("From", "Von", "De", "Sent", "Gesendet", "Envoyé", "Enviado", "Enviado el", "Date", "Datum", "Fecha", "To", "An", "À", "A", "Para", "Cc", "Kopie", "Subject", "Betreff", "Objet", "Asunto")
 REPLY_MARKS = ("re", "fw", "fwd", "aw", "wg", "tr", "rv", "ref")
 CLOSINGS = (
@@ -46,13 +55,7 @@ CLOSINGS = (
     "saludos", "saludos cordiales", "un saludo", "un cordial saludo", "cordialmente", "atentamente", "gracias", "muchas gracias",
 )
 GREETINGS = r"dear|hi|hello|hey|good (?:morning|afternoon|evening|day)|greetings|bonjour|bonsoir|cher|chère|chers|madame|monsieur|hallo|guten (?:morgen|tag|abend)|liebe|lieber|sehr geehrte[rs]?|hola|buenos días|buenas tardes|estimad[oa]s?(?:/[oa]s?)?"
-NOTICES = (
-    r"\[external\]", r"(?:caution|warning|achtung|attention|atención)\s*: (?:this|external|diese|ce|este)\b", r"notice: ", r"this (?:e-?mail|message)(?: and its attachments)? (?:is|are|may) ", r"the (?:contents?|information) (?:of|in) this (?:e-?mail|message)",
-    r"if (?:it|you|this)\b.{0,40}\b(?:by mistake|in error)", r"intended recipient only", r"copying, forwarding or relying", r"views expressed are those", r"please think before you print", r"scanned for viruses", r"no guarantee is given that it is free", r"we never change our bank details",
-    r"our fees and trading terms", r"ask .{2,60} for a copy\.?$", r".{2,60} accepts no liability\b", r".{2,60} is a limited company registered\b", r"diese nachricht von .{2,60} ist vertraulich", r"haben sie sie irrtümlich erhalten", r"ce message de .{2,60} est réservé", r"este mensaje de .{2,60} es confidencial", r"si lo ha recibido por error",
-)
 PARTICLES = ("of", "and", "de", "la", "du", "für", "y", "et")
-DEVICES = (r"sent from my ", r"typed on a phone", r"get the \w+ app for your phone", r"von meinem \w+ gesendet", r"envoyé de(?:puis)? mon ", r"enviado desde mi ")
 
 _HEADER = re.compile(rf"^\*?(?:{'|'.join(HEADERS)}) ?:\*? ?\S")
 _FIRST = re.compile(r"^\*?(?:From|Von|De) ?:\*? ?\S")
@@ -67,11 +70,10 @@ _ATTACHED = re.compile(r"^\[(?:attachment|attached|anhang|pièce jointe|adjunto)
 _GREETING = re.compile(rf"^(?:(?:{GREETINGS})\b[^.?;$]{{0,60}}[,:!]?|[A-ZÀ-Þ][^\W\d_]+[,:!])$", re.I)
 _NAME_ONLY = re.compile(r"^[A-ZÀ-Þ][^\W\d_]+[,:!]$")
 _PS = re.compile(r"^p\.? ?p?\.? ?s\b\.?:?", re.I)
-_NOTICE = re.compile("^(?:" + "|".join(NOTICES) + ")", re.I)
-_DEVICE = re.compile("^(?:" + "|".join(DEVICES) + ")", re.I)
 _PHONE = re.compile(r"^(?:(?:tel|phone|mobile|fax|téléphone|telefon|teléfono|m|t|f)\.?:? ?)?\+?\d[\d ()/.-]{6,}$", re.I)
 _MAIL = re.compile(r"^\S+@\S*$")
 _BROKEN_INTRO = re.compile(r"^(?:On|Am|Le|El|Den) .{4,40}\d{1,2}:\d{2}\b|^\*(?:From|Von|De):|^(?:From|Von|De): [^,]*<")
+_ENDED = re.compile(r"[.!?:…][\"')\]]*\s*$")
 _SENTENCE = re.compile(r"\S.*?(?:[.!?][\"')\]]*(?=\s)|$)")
 
 
@@ -82,11 +84,13 @@ def clean(line: str) -> str:
 class Message:
     """An email's lines with a label for each: what its layout alone tells."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, boiler: frozenset[int] = frozenset()):
+        """``boiler``: the lines that are known to be boilerplate."""
+        self.boiler = boiler
         self.lines = lines = text.split("\n")
         self.header: dict[str, str] = {}
-        i = 1
-        while i < len(lines) and (m := _OWN.match(lines[i])) and m.group(1) not in self.header:
+        i = 1 if len(lines) > 1 and _OWN.match(lines[1]) else 0  # without header lines all is body
+        while i and i < len(lines) and (m := _OWN.match(lines[i])) and m.group(1) not in self.header:
             self.header[m.group(1)] = lines[i][m.end() :].strip()
             i += 1
         self.start = i
@@ -96,6 +100,8 @@ class Message:
         self.domain = self.sender.rpartition("@")[2]
         self.company = re.sub(r"\.[a-z]+$", "", self.domain)
         self.names = name.split()
+        people = " ".join(self.header.get(k, "") for k in ("From", "To", "Cc")).lower()
+        self.parties = set(H.WORD.findall(re.sub(r"\.[a-z]+(?=[>,\s]|$)", " ", people)))
         self.to = re.sub(r"<.*", "", self.header.get("To", "")).strip().split()
         self.thread = re.sub(rf"^(?:(?:{'|'.join(REPLY_MARKS)})\s*:\s*)+", "", lines[0].strip().lower()).strip()
         try:
@@ -209,10 +215,8 @@ class Message:
             return "rule", True
         if _PS.match(line):
             return "ps", False
-        if _NOTICE.match(line):
+        if i in self.boiler:
             return "notice", signing
-        if _DEVICE.match(line):
-            return "device", signing
         if _PHONE.match(line) or _MAIL.match(line) or self._is_company(line):
             return "contact", True
         if self._is_name(line) and not line.endswith(","):
@@ -227,6 +231,48 @@ class Message:
             return "greeting", False
         return "", False
 
+    def edges(self) -> set[int]:
+        """Lines that stand where notices stand: first of all, below a signature or a rule, or among the last before earlier text or the end."""
+        out: set[int] = set()
+        run: list[int] = []
+        after, first = False, True
+        for i in range(self.start, len(self.lines)):
+            label = self.inner[i] if self.labels[i] == "earlier" else self.labels[i]
+            if label == "blank" or self.labels[i] == "earlier" and not self.lines[i].strip():
+                continue
+            if label in ("quote", "mark", "attached"):
+                out.update(run[-LAST:])
+                after, run = False, []
+            elif label == "greeting":
+                after, run = False, []
+            elif label in ("closing", "rule", "name", "contact", "other"):
+                after = True
+            else:
+                run.append(i)
+                if after or first:
+                    out.add(i)
+            first = False
+        return out.union(run[-LAST:])
+
+    def whole_lines(self) -> list[int]:
+        """Unlabelled lines of three words or more that don't go on with the line before."""
+        out, going = [], False
+        for i in range(self.start, len(self.lines)):
+            plain = self.labels[i] == "" or self.labels[i] == "earlier" and self.inner[i] == ""
+            if plain and not going and len(self.lines[i].split()) >= 3:
+                out.append(i)
+            going = plain and not _ENDED.search(self.lines[i])
+        return out
+
+    def masked(self, words: str) -> str:
+        """``words`` with the names of the parties and of their companies as one sign."""
+        out: list[str] = []
+        for w in words.split():
+            w = "@" if w in self.parties else w
+            if w != "@" or not out or out[-1] != "@":
+                out.append(w)
+        return " ".join(out)
+
     def sentences(self) -> list[tuple[str, int, int, str]]:
         """(words, first line, last line, kind) of all sentences; kind is ``own`` (unquoted), ``earlier`` or ``quote``."""
         out = []
@@ -248,7 +294,7 @@ class Message:
                     at.append((len(s), i))
                     s += line + " "
                     i += 1
-                    if part in ("notice", "device"):
+                    if part == "notice":
                         break
                 for m in _SENTENCE.finditer(s):
                     words = clean(m.group())
@@ -258,14 +304,8 @@ class Message:
 
     def _in(self, i: int, kind: str) -> bool:
         if kind == "own":
-            return self.labels[i] in ("", "ps", "notice", "device")
-        return self.labels[i] == kind and (kind == "quote" or self.inner[i] in ("", "ps", "notice", "device"))
-
-
-def fingerprint(words: str) -> int:
-    """SimHash of a sentence's words and word pairs."""
-    h = H.hashed(words.split())
-    return H.simhash(np.concatenate([h, H.shingles(h, 2)]))
+            return self.labels[i] in ("", "ps", "notice")
+        return self.labels[i] == kind and (kind == "quote" or self.inner[i] in ("", "ps", "notice"))
 
 
 def _greets_another(m: Message, line: str) -> bool:
@@ -275,14 +315,20 @@ def _greets_another(m: Message, line: str) -> bool:
     return bool(named and m.to and g.group(1) not in m.to)
 
 
+def boiler_lines(sentences: list[tuple[int, int, bool]], lines: set[int]) -> frozenset[int]:
+    """The lines of which all is boilerplate: as lines, or by all their sentences (first line, last line, boilerplate)."""
+    rest = {i for first, last, boiler in sentences if not boiler for i in range(first, last + 1)}
+    return frozenset(lines | ({i for first, last, boiler in sentences if boiler for i in range(first, last + 1)} - rest))
+
+
 def decide(m: Message, sentences: list[tuple[int, int, bool, bool]]) -> list[int]:
-    """Numbers of the newly written lines; ``sentences`` has (first line, last line, inherited, boilerplate) of the unquoted and earlier ones."""
+    """Numbers of the newly written lines; ``sentences`` has (first line, last line, inherited, short and inherited) of the unquoted and earlier ones."""
     n = len(m.lines)
     fresh = np.zeros(n, dtype=bool)
     at: dict[int, list[tuple[bool, bool]]] = {}
-    for first, last, inherited, boiler in sentences:
+    for first, last, inherited, short in sentences:
         for i in range(first, last + 1):
-            at.setdefault(i, []).append((inherited, boiler))
+            at.setdefault(i, []).append((inherited, short))
     # Segments of unquoted lines: one ends with a signature, before a greeting, and at quotes and marks.
     segments: list[list[int]] = [[]]
     signed = False
@@ -313,12 +359,15 @@ def decide(m: Message, sentences: list[tuple[int, int, bool, bool]]) -> list[int
             continue  # someone else's text: they signed it, or it greets the sender
         # Earlier text stands in one piece: from the greeting before its first known sentence to its last one, or to its signature.
         low, high = (min(held), n if signed else max(held)) if held else (n, -1)
+        for i in reversed(prose):  # short sentences next to it are part of it
+            low = i if held and i == max((x for x in prose if x < low), default=-1) and at.get(i) and all(a or b for a, b in at[i]) else low
+        for i in prose:
+            high = i if held and i == min((x for x in prose if x > high), default=-1) and at.get(i) and all(a or b for a, b in at[i]) else high
         for i in seg:
             if m.labels[i] == "greeting":
                 fresh[i] = not to_me and not (held and low <= min(prose)) and not _greets_another(m, m.lines[i])
             elif m.labels[i] in ("", "ps") and not low <= i <= high:
-                here = at.get(i, [])
-                fresh[i] = not here or any(not b for _, b in here)
+                fresh[i] = True
     # Below a block of earlier text, which has no marks at its end.
     below = [i for i in range(m.start, n) if m.labels[i] == "earlier"]
     known = {i for i in below if m.inner[i] in ("", "ps") and any(inh for inh, _ in at.get(i, []))}
@@ -332,117 +381,191 @@ def decide(m: Message, sentences: list[tuple[int, int, bool, bool]]) -> list[int
             mine = [i for i in prose if names and top is not None and top < i < names[-1]]
             if any(m.inner[i] == "other" or m.labels[i] == "mark" for i in range(mine[0], mine[-1])) if mine else False:
                 mine = []
-        for i in mine:
-            here = at.get(i, [])
-            fresh[i] = not here or any(not b for _, b in here)
+        fresh[mine] = True
         if mine:
             hello = [i for i in below if m.inner[i] == "greeting" and i < mine[0] and i > max(known, default=-1)]
             if hello and all(m.labels[i] == "blank" for i in range(hello[-1] + 1, mine[0])):
                 fresh[hello[-1]] = True
-    last = next((i for i in range(n - 1, m.start - 1, -1) if m.labels[i] not in ("blank", "attached") and m.inner[i] not in ("notice", "device", "rule")), None)
+    last = next((i for i in range(n - 1, m.start - 1, -1) if m.labels[i] not in ("blank", "attached") and m.inner[i] not in ("notice", "rule")), None)
     if last is not None and m.inner[last] == "ps" and last not in known:
         fresh[last] = True
     return [i + 1 for i in np.flatnonzero(fresh)]
 
 
-def fingerprints(sentences: list[str], slab: int = 2000) -> np.ndarray:
-    """SimHashes of many sentences: each over its words and word pairs, ``slab`` sentences at once."""
-    if not sentences:
+def fingerprints(texts: list[str], slab: int = 1000) -> np.ndarray:
+    """SimHashes of many texts over their runs of ``GRAM`` characters, ``slab`` texts at once."""
+    if len(texts) > slab:
+        return np.concatenate([fingerprints(texts[i : i + slab], slab) for i in range(0, len(texts), slab)])
+    if not texts:
         return np.zeros(0, dtype=np.uint64)
-    if len(sentences) > slab:
-        return np.concatenate([fingerprints(sentences[i : i + slab]) for i in range(0, len(sentences), slab)])
-    hs = [H.hashed(s.split()) for s in sentences]
-    sizes = np.array([len(h) for h in hs])
-    every = np.concatenate(hs)
-    ends = np.cumsum(sizes)
-    pairs = H.shingles(every, 2)
-    inside = np.ones(len(pairs), dtype=bool)
-    inside[ends[:-1] - 1] = False  # pairs over two sentences
-    owner = np.repeat(np.arange(len(hs)), sizes)
-    features = np.concatenate([every, pairs[inside]])
-    owners = np.concatenate([owner, owner[:-1][inside]])
-    order = np.argsort(owners, kind="stable")
-    bits = np.unpackbits(features[order].view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16) * 2 - 1
-    first = np.searchsorted(owners[order], np.arange(len(hs)))
-    return np.packbits(np.add.reduceat(bits, first, axis=0) > 0, axis=1).view(np.uint64).ravel()
+    padded = [f" {t} ".ljust(GRAM) for t in texts]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t in padded])
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    grams = H.shingles(H.mix(codes + np.uint64(1)), GRAM)
+    inside = owner[: len(grams)] == owner[GRAM - 1 :]
+    bits = np.unpackbits(grams[inside].view(np.uint8).reshape(-1, 8), axis=1)
+    first = np.searchsorted(owner[: len(grams)][inside], np.arange(len(texts)))
+    votes = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    return np.packbits(votes * 2 > (sizes - GRAM + 1)[:, None], axis=1).view(np.uint64).ravel()
+
+
+def with_fingerprints(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the fingerprint ``fp`` of a text column."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(fp=H.signed(fingerprints(pdf[text].tolist())))
+
+    return df.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", fp bigint")
+
+
+def near_texts(left: DataFrame, right: DataFrame, group: str | None) -> DataFrame:
+    """``x``, ``y`` of the rows (x, text, fp[, group]) and (y, text, fp[, group]) of a group whose fingerprints are within ``RADIUS`` and whose texts within the edit distance."""
+    width = 64 // BLOCKS
+    size = F.floor(F.log(F.length("text").cast("double")) / math.log(1 + EDITS)).cast("int")  # texts within the edit distance are in classes next to each other
+    part = f"(shiftrightunsigned(fp, i % {BLOCKS} * {width}) & {(1 << width) - 1})"
+    turn = f"cast(i div {BLOCKS} as int)"
+    flip = f"if({turn} = 0, 0L, shiftleft(1L, {turn} - 1))"
+    # For every block: the three size classes on one side, no flip and a flip of each bit on the other.
+    keys = lambda n, value, cls: F.expr(f"explode(transform(sequence(0, {BLOCKS * n - 1}), i -> xxhash64({group + ', ' if group else ''}i % {BLOCKS}, {value}, {cls})))").alias("block")
+    x = left.withColumn("size", size).select("x", F.col("text").alias("a"), F.col("fp").alias("fx"), keys(3, part, f"size + {turn} - 1"))
+    y = right.withColumn("size", size).select("y", F.col("text").alias("b"), F.col("fp").alias("fy"), keys(width + 1, f"{part} ^ {flip}", "size"))
+    near = x.drop("a").join(y.drop("b"), "block").where(F.bit_count(F.col("fx").bitwiseXOR(F.col("fy"))) <= RADIUS).select("x", "y").distinct()
+    near = near.join(left.select("x", F.col("text").alias("a")), "x").join(right.select("y", F.col("text").alias("b")), "y")
+    return near.where(F.levenshtein("a", "b") <= EDITS * F.greatest(F.length("a"), F.length("b"))).select("x", "y")
 
 
 def email_pages(documents: DataFrame, doc_text: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` of every email's page, once each. Pages without a From line can't be emails and aren't shuffled."""
-    ids = documents.where("parser = 'eml'").select("doc_id")
-    pages = doc_text.where("instr(text, '\nFrom:') > 0").select("doc_id", "page", "text")
-    return pages.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("page", "text")).alias("p")).select("doc_id", "p.text")
+    """``doc_id``, ``parent``, ``text`` of every email's page, once each."""
+    parent = F.col("parent_doc_id") if "parent_doc_id" in documents.columns else F.lit(None).cast(dict(documents.dtypes)["doc_id"])
+    ids = documents.where("parser = 'eml' and doc_id is not null").groupBy("doc_id").agg(F.min(parent).alias("parent"))
+    pages = doc_text.where("text is not null").select("doc_id", "page", "text")
+    pages = pages.join(small(ids.select("doc_id")), "doc_id", "left_semi")
+    return pages.groupBy("doc_id").agg(F.min(F.struct("page", "text")).alias("p")).join(small(ids), "doc_id").select("doc_id", "parent", "p.text")
 
 
 def parsed(emails: DataFrame) -> DataFrame:
-    """A row for each sentence: where it stands, who wrote it when in which conversation, and its fingerprint."""
+    """A row for each sentence and, for boilerplate, for each line: where it stands, and who wrote it when in which conversation."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for d, text in zip(pdf["doc_id"], pdf["text"]):
+            for d, parent, text in zip(pdf["doc_id"], pdf["parent"], pdf["text"]):
                 m = Message(text)
+                edges = m.edges()
+                meta = (d, parent, m.thread, m.sender, m.domain, m.at)
                 for no, (words, first, last, kind) in enumerate(m.sentences()):
-                    if words.count(" ") < 2:
-                        continue
                     asked = kind == "own" and m.labels[first] in ("", "ps") or kind == "earlier" and m.inner[first] in ("", "ps")
-                    alone = asked and kind == "own" and m.labels[first] == "" and clean(" ".join(m.lines[first : last + 1])) == words
-                    rows.append((d, no, m.thread, m.sender, m.domain, m.at, words, alone, asked))
-            out = pd.DataFrame(rows, columns=["doc_id", "no", "thread", "sender", "domain", "at", "words", "alone", "own"])
-            out["at"] = out["at"].astype("Int64")
-            out["fp"] = H.signed(fingerprints(out["words"].tolist()))
-            yield out
+                    rows.append((*meta, 2 * no, words, asked, m.masked(words) if asked else None, first in edges))
+                for i in m.whole_lines():
+                    rows.append((*meta, 2 * i + 1, None, False, m.masked(clean(m.lines[i])), i in edges))
+            yield pd.DataFrame(rows, columns=["doc_id", "parent", "thread", "sender", "domain", "at", "no", "words", "own", "unit", "edge"]).astype({"at": "Int64"})
+
+    kind = dict(emails.dtypes)["doc_id"]  # ids pass Python as strings: with nulls they would become floats there
+    out = emails.select("doc_id", F.col("parent").cast("string").alias("parent"), "text").mapInPandas(run, f"doc_id {kind}, parent string, thread string, sender string, domain string, at bigint, no int, words string, own boolean, unit string, edge boolean")
+    return out.withColumn("parent", F.col("parent").cast(dict(emails.dtypes)["parent"]))
 
-    kind = dict(emails.dtypes)["doc_id"]
-    return emails.mapInPandas(run, f"doc_id {kind}, no int, thread string, sender string, domain string, at bigint, words string, alone boolean, own boolean, fp bigint")
+
+def two_earliest(rows: DataFrame, *key: str) -> DataFrame:
+    """Of rows (key, at, who): the earliest of each key, ``e1``, and the earliest by someone else, ``e2``."""
+    per = rows.groupBy(*key, "who").agg(F.min("at").alias("at"))
+    first = per.groupBy(*key).agg(F.min(F.struct("at", "who")).alias("e1"))
+    other = per.join(first, [*key]).where("who <> e1.who").groupBy(*key).agg(F.min(F.struct("at", "who")).alias("e2"))
+    return first.join(other, [*key], "left")
 
 
 def inherited(sentences: DataFrame) -> DataFrame:
-    """``doc_id``, ``no`` of the own sentences that an earlier message of the conversation by someone else has, nearly word for word."""
-    s = sentences.where("length(words) - length(replace(words, ' ', '')) >= 3").withColumn("key", F.xxhash64("thread", "sender", "words")).withColumn("who", F.xxhash64("sender"))
-    kept = s.groupBy("key").agg(F.first("thread").alias("thread"), F.first("who").alias("who"), F.first("words").alias("words"), F.first("fp").alias("fp"), F.min(F.coalesce("at", F.lit(-(1 << 60)))).alias("at"), F.max("own").alias("own"))
+    """``doc_id``, ``no``, ``short`` of the own sentences that an earlier message has, nearly word for word."""
+    s = sentences.where("words is not null").select("doc_id", "parent", "no", "at", "own", "words", F.xxhash64("words").alias("w"), F.xxhash64("thread").alias("thread"), F.xxhash64("sender").alias("sender"))
+    talk = s.select(F.struct(F.lit(0).alias("k"), F.col("thread").cast("string").alias("v")).alias("g"), F.col("sender").alias("who"), "doc_id", "no", "at", "own", "words", "w")
+    # The message answered: its conversation is the pair's own where the subjects differ; it is earlier whatever the dates say.
+    of = s.select("doc_id", "parent", "thread").distinct()
+    apart = of.where("parent is not null").select("doc_id", "parent", "thread").join(of.select(F.col("doc_id").alias("parent"), F.col("thread").alias("t2")), "parent").where("thread <> t2").select("doc_id", "parent")
+    apart = small(cut(apart))
+    pair = F.struct(F.lit(1).alias("k"), F.col("parent").cast("string").alias("v")).alias("g")
+    asks = s.where("own").drop("parent").join(apart, "doc_id").select(pair, F.lit(1).cast("bigint").alias("who"), "doc_id", "no", F.lit(1 << 60).alias("at"), "own", "words", "w")
+    gives = s.drop("parent").join(apart.select(F.col("parent").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.struct(F.lit(1).alias("k"), F.col("doc_id").cast("string").alias("v")).alias("g"), F.lit(0).cast("bigint").alias("who"), "doc_id", "no", F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("own"), "words", "w")
+    s = talk.unionByName(asks).unionByName(gives)
+    several = s.groupBy("g").agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a <> b").select("g")
+    s = s.join(several, "g", "left_semi")
+    # A sentence of a conversation is one row.
+    kept = s.groupBy("g", "w", "who").agg(F.min("at").alias("at"), F.max("own").alias("own"), F.first("words").alias("words"))
     kept = cut(kept)
-    width = 64 // BLOCKS
-    block = F.explode(F.array(*[F.xxhash64("thread", F.lit(b), F.shiftrightunsigned("fp", b * width).bitwiseAND(F.lit((1 << width) - 1))) for b in range(BLOCKS)])).alias("block")
-    x = kept.where("own").select(block, F.col("key").alias("kx"), F.col("fp").alias("fx"), F.col("who").alias("wx"))
-    y = kept.select(block, F.col("key").alias("ky"), F.col("fp").alias("fy"), F.col("who").alias("wy"))
-    near = x.join(y, "block").where((F.col("wx") != F.col("wy")) & (F.bit_count(F.col("fx").bitwiseXOR(F.col("fy"))) <= RADIUS)).select("kx", "ky").distinct()
-    sx = kept.select(F.col("key").alias("kx"), F.col("words").alias("a"))
-    sy = kept.select(F.col("key").alias("ky"), F.col("words").alias("b"), "at")
-    close = near.join(sx, "kx").join(sy, "ky").where((F.col("a") == F.col("b")) | (F.levenshtein("a", "b") <= EDITS * F.length("a")))
-    earliest = close.groupBy("kx").agg(F.min("at").alias("since")).withColumnRenamed("kx", "key")
-    mine = s.where("own").select("key", "doc_id", "no", "at")
-    return mine.join(earliest, "key").where(F.col("since") < F.coalesce("at", F.lit(1 << 60))).select("doc_id", "no")
-
-
-def boilerplate(sentences: DataFrame) -> DataFrame:
-    """``doc_id``, ``no`` of the sentences, lines of their own, that a domain repeats in several conversations, or several domains have."""
-    s = sentences.where("own").select("doc_id", "no", "domain", F.xxhash64("thread").alias("thread"), F.xxhash64("words").alias("w"), "alone")
-    alone = s.groupBy("w").agg(F.avg(F.col("alone").cast("double")).alias("share"), F.count(F.lit(1)).alias("n")).where("n >= 2 and share >= 0.9").select("w")
-    some = s.join(alone, "w", "left_semi")
-    per = some.groupBy("w", "domain", "thread").agg(F.lit(1).alias("one")).groupBy("w", "domain").agg(F.count(F.lit(1)).alias("threads"))
-    wide = per.groupBy("w").agg(F.count(F.lit(1)).alias("domains")).where(F.col("domains") > SPREAD).select("w")
-    often = per.where(F.col("threads") >= SPREAD).select("w", "domain")
-    return some.join(often, ["w", "domain"], "left_semi").select("doc_id", "no").unionByName(some.join(wide, "w", "left_semi").select("doc_id", "no")).distinct()
+    sources = kept.where("at is not null").select("g", "w", "who", "at")
+    long = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) >= 3
+    texts = kept.where(long).groupBy("g", "w").agg(F.first("words").alias("text"), F.max("own").alias("own"), F.max(F.col("at").isNotNull()).alias("dated"))
+    texts = cut(_fingerprinted(texts))
+    near = near_texts(texts.where("own").select("x", "text", "fp", "group"), texts.where("dated").select(F.col("x").alias("y"), "text", "fp", "group"), "group").where("x <> y")
+    keys = texts.select("x", "g", "w")
+    close = near.join(keys, "x").join(texts.select(F.col("x").alias("y"), F.col("w").alias("wy")), "y").select("g", "w", "wy")
+    copies = close.join(sources.withColumnRenamed("w", "wy"), ["g", "wy"]).select("g", "w", "who", "at")
+    since = two_earliest(sources.unionByName(copies), "g", "w")
+    mine = s.where("own").select("g", "w", "doc_id", "no", "who", F.coalesce("at", F.lit(1 << 60)).alias("at"), (~long).alias("short"))
+    got = mine.join(since, ["g", "w"]).where(F.when(F.col("e1.who") != F.col("who"), F.col("e1.at")).otherwise(F.col("e2.at")) < F.col("at"))
+    return got.groupBy("doc_id", "no").agg(F.min("short").alias("short"))
+
+
+def _fingerprinted(texts: DataFrame) -> DataFrame:
+    """Rows (x, group, g, w, text, own, dated, fp) of a conversation's sentences."""
+    t = texts.select(F.xxhash64("g", "w").alias("x"), F.xxhash64("g").alias("group"), F.col("g.k").alias("k"), F.col("g.v").alias("v"), "w", "text", "own", "dated")
+    return with_fingerprints(t, "text").withColumn("g", F.struct("k", "v")).drop("k", "v")
+
+
+def boilerplate(units: DataFrame) -> DataFrame:
+    """``doc_id``, ``no`` of the units that repeat at a rate where notices stand, and of those near them there."""
+    u = units.where("unit <> ''").select("doc_id", "no", F.xxhash64("domain").alias("domain"), F.xxhash64("thread").alias("thread"), "unit", F.xxhash64("unit").alias("w"), "edge", F.coalesce("at", F.col("doc_id").cast("bigint")).alias("at"))
+    talks = units.select(F.xxhash64("domain").alias("domain"), F.xxhash64("thread").alias("thread")).distinct().groupBy("domain").agg(F.count(F.lit(1)).alias("talks"))
+    talks = cut(talks)
+    domains = talks.count()
+    # Only what stands at such a place at all can be boilerplate: the others are counted for those alone.
+    edge = cut(u.where("edge"))
+    # Copies of a message have its conversation or its date.
+    places = edge.groupBy("w", "domain", "thread").agg(F.lit(1).alias("one"))
+    talk = places.groupBy("w", "domain").agg(F.count(F.lit(1)).alias("n"))
+    time = edge.groupBy("w", "domain", "at").agg(F.lit(1).alias("one")).groupBy("w", "domain").agg(F.count(F.lit(1)).alias("m"))
+    per = talk.where("n > 1").join(time.where("m > 1"), ["w", "domain"]).select("w", "domain", F.least("n", "m").alias("n"))
+    owners = talk.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 3) & (F.col("n") >= domains * WIDE))
+    talks_of = places.select("w", "thread").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("m")).where("m >= 3")  # a sentence pasted on in one conversation is none
+    per = per.join(talks, "domain").select("w", "domain", "n", "talks")
+    often = per.where((F.col("n") >= 2) & (F.col("n") >= F.col("talks") * RATE)).select("w").distinct()
+    wide = owners.join(talks_of, "w").select("w")
+    some = often.unionByName(wide).distinct()
+    stands = u.join(some, "w", "left_semi").groupBy("w").agg(F.avg(F.col("edge").cast("double")).alias("share"), F.min("unit").alias("text"))
+    known = cut(stands.where("share >= 0.5").select(F.col("w").alias("x"), "text"))
+    rest = edge.select(F.col("w").alias("y"), F.col("unit").alias("text")).distinct().join(known.select(F.col("x").alias("y")), "y", "left_anti")
+    long = F.length("text") >= 20
+    near = near_texts(cut(with_fingerprints(rest.where(long), "text")).withColumnRenamed("y", "x"), cut(with_fingerprints(known.where(long), "text")).withColumnRenamed("x", "y"), None)
+    exact = u.join(known.select(F.col("x").alias("w")), "w", "left_semi").select("doc_id", "no")
+    return exact.unionByName(edge.join(near.select(F.col("x").alias("w")).distinct(), "w", "left_semi").select("doc_id", "no")).distinct()
 
 
 def new_lines(documents: DataFrame, doc_text: DataFrame) -> DataFrame:
     """``doc_id``, ``line_no`` of the newly written lines of every email."""
     emails = cut(email_pages(documents, doc_text))
-    sentences = cut(parsed(emails))
-    marks = inherited(sentences).select("doc_id", (F.col("no") * 2).alias("mark")).unionByName(boilerplate(sentences).select("doc_id", (F.col("no") * 2 + 1).alias("mark")))
-    marks = marks.groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))  # an email's own sentences
+    units = cut(parsed(emails))
+    old = inherited(units).select("doc_id", (F.col("no") * 4 + F.when(F.col("short"), 1).otherwise(0)).alias("mark"))
+    marks = old.unionByName(boilerplate(units).select("doc_id", (F.col("no") * 4 + 2).alias("mark")))
+    marks = marks.groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))  # an email's own sentences and lines
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, lines = [], []
             for d, text, marks in zip(pdf["doc_id"], pdf["text"], pdf["marks"]):
-                m = Message(text)
-                seen = set() if marks is None else set(map(int, marks))
-                got = decide(m, [(first, last, 2 * k in seen, 2 * k + 1 in seen) for k, (_, first, last, kind) in enumerate(m.sentences()) if kind != "quote"])
+                got = reduce_email(text, set() if marks is None else set(map(int, marks)))
                 ids.extend([d] * len(got))
                 lines.extend(got)
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=pdf["doc_id"].dtype), "line_no": np.array(lines, dtype=np.int32)})
 
     kind = dict(emails.dtypes)["doc_id"]
-    return emails.join(marks, "doc_id", "left").mapInPandas(run, f"doc_id {kind}, line_no int")
+    return emails.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInPandas(run, f"doc_id {kind}, line_no int")
+
+
+def reduce_email(text: str, marks: set[int]) -> list[int]:
+    """Numbers of the newly written lines, given the marks of sentences (8 x number: inherited, + 1: short, + 2: boilerplate) and lines (8 x number + 6: boilerplate)."""
+    m = Message(text)
+    sentences = m.sentences()
+    if any(x & 2 for x in marks):
+        lines = {x >> 3 for x in marks if x & 7 == 6}
+        m = Message(text, boiler_lines([(first, last, 8 * k + 2 in marks) for k, (_, first, last, kind) in enumerate(sentences) if kind != "quote"], lines))
+    return decide(m, [(first, last, 8 * k in marks, 8 * k + 1 in marks) for k, (_, first, last, kind) in enumerate(sentences) if kind != "quote"])

@@ -25,10 +25,11 @@ def ids(df, *cols):
 MAIL = "Re: Fence AB-1\nFrom: Ann Lee <ann.lee@lee-co.example>\nTo: Bob Ray <bob.ray@ray-trust.example>\nDate: Tue, 02 Jan 2024 10:00:00 +0000\n"
 
 
-def fresh(body, *known):
+def fresh(body, *known, notices=()):
     m = emails.Message(MAIL + body)
-    s = [(a, b, any(w == emails.clean(k) for k in known), False) for w, a, b, kind in m.sentences() if kind != "quote"]
-    return [m.lines[i - 1] for i in emails.decide(m, s)]
+    marks = {8 * k for k, (w, *_) in enumerate(m.sentences()) if any(w == emails.clean(x) for x in known)}
+    marks |= {8 * i + 6 for i, line in enumerate(m.lines) if line in notices}
+    return [m.lines[i - 1] for i in emails.reduce_email(MAIL + body, marks)]
 
 
 @pytest.mark.parametrize(
@@ -39,7 +40,7 @@ def fresh(body, *known):
         ("Fine by me.\nOn Mon, 1 Jan 2024 at 09:00, Bob\nRay <bob.ray@ray-trust.example> wrote:\n> Dear Ann,\n> shall we\nYes, we shall.\n> meet", ["Fine by me.", "Yes, we shall."]),
         ("Seen.\n-----Original Message-----\nFrom: Bob Ray <bob.ray@ray-trust.example>\nSent: 2024-01-01 09:00\nTo: Ann Lee\nSubject: Fence\nDear Ann,\nOld words.", ["Seen."]),
         ("From: what I recall, the fee was paid.\nOn 23 Jun 2021 Cy Poe wrote: pay $5 or leave. I never replied.\nRegards the rail, it broke.", ["From: what I recall, the fee was paid.", "On 23 Jun 2021 Cy Poe wrote: pay $5 or leave. I never replied.", "Regards the rail, it broke."]),
-        ("AL> old\nNew line.\nSent from my handset\n[attachment: a.pdf]\n", ["New line."]),
+        ("AL> old\nNew line.\n[attachment: a.pdf]\n", ["New line."]),
         ("Am 05.03.2023 um 05:21 schrieb Bob Ray <bob.ray@ray-trust.example>:\n| Alt.\nNeu.", ["Neu."]),
         ("Dear Ann,\nOld words stand here.\nMany thanks,\nBob Ray\nDear Bob,\nNew words.\nAL", ["Dear Bob,", "New words."]),
         ("", []), ("\n\n", []),
@@ -49,6 +50,12 @@ def test_lines_by_layout(body, want):
     assert fresh(body) == want
 
 
+def test_notices_are_what_is_marked():
+    body = "New line.\nRegards,\nAnn Lee\nRegistrar\nKeep this between us two"
+    assert fresh(body) == ["New line.", "Keep this between us two"]
+    assert fresh(body, notices=("Keep this between us two",)) == ["New line."]
+
+
 def test_inherited_lines():
     assert fresh("My own words.\nThe old text was pasted here. It goes\non for two lines.", "The old text was pasted here.", "It goes on for two lines.") == ["My own words."]
 
@@ -66,8 +73,86 @@ def test_new_lines(spark):
 
 
 def test_fingerprints_equal_one_by_one():
-    s = ["a b c", "one", "x y z " * 50, "a b d"] * 3
-    assert [int(x) for x in emails.fingerprints(s, slab=5)] == [emails.fingerprint(x) for x in s]
+    s = ["a b c", "one", "x y z " * 50, "a b d", "ü", ""] * 3
+    assert emails.fingerprints(s, slab=5).tolist() == [int(emails.fingerprints([x])[0]) for x in s]
+
+
+def mails(spark, rows):
+    """(doc_id, sender, to, day or None, subject, body[, parent]) as tables."""
+    out = []
+    for d, a, b, day, subject, body, *parent in rows:
+        head = f"{subject}\nFrom: {a.title()} <{a}@{a}-co.example>\nTo: {b.title()} <{b}@{b}-co.example>\n"
+        out.append((d, "eml", head + (f"Date: Tue, {day:02d} Jan 2024 10:00:00 +0000\n" if day else "") + body, parent[0] if parent else None))
+    d = spark.createDataFrame(out, "doc_id bigint, parser string, text string, parent_doc_id bigint")
+    got = emails.new_lines(d, d.select("doc_id", F.lit(1).alias("page"), "text"))
+    lines = {r.doc_id: r.text.split("\n") for r in d.collect()}
+    return [(i, lines[i][n - 1]) for i, n in ids(got, "doc_id", "line_no")]
+
+
+NOTICE = "All of our work is done under the usual conditions of trade."
+
+
+def _company(n=30):
+    rng = random.Random(7)
+    return [(i, f"s{i % 3}", f"t{i % 7}", 1 + i % 28, f"Matter {i}", text(rng, 9).capitalize() + ".\nRegards,\n" + NOTICE) for i in range(n)]
+
+
+def test_notices_are_learnt_from_repetition(spark, monkeypatch):
+    rows = _company()
+    once = (99, "zed", "t1", 3, "Other", "This stands here once only.\nRegards,\nAll of our other work is done in the month of March.")
+    near = (98, "zed", "t1", 4, "Else", "My text.\nRegards,\n" + NOTICE.replace("usual", "usuall"))
+    got = mails(spark, [*rows, once, near])
+    assert not [x for x in got if x[1].startswith("All of our work")] and len(got) == 30 + 3
+    empty = lambda units: units.select("doc_id", "no").limit(0)
+    monkeypatch.setattr(emails, "boilerplate", empty)  # without the pass nothing tells a notice
+    assert len([x for x in mails(spark, [*rows, once, near]) if x[1].startswith("All of our work")]) == 31
+
+
+def test_pasted_text_is_found_by_its_source(spark, monkeypatch):
+    old = "The insurer valued the annual ledger of the pool under protest."
+    rows = [
+        (1, "bob", "ann", 1, "Fence", "Good. " + old), (2, "ann", "bob", 2, "Re: Fence", "I do not agree at all here.\nGood. The insurer valued the anual ledger of the pool under protest."),
+        (3, "cy", "dan", 3, "Gate", "No relation to any of it.\n" + old), (4, "ann", "bob", 5, "New subject", "See what was said before.\n" + old, 1), (5, "ann", "bob", 1, "Late", "Before its parent by the date.\n" + old, 1),
+    ]
+    monkeypatch.setattr(emails, "boilerplate", lambda units: units.select("doc_id", "no").limit(0))
+    got = mails(spark, rows)
+    assert [x[0] for x in got if "ledger" in x[1]] == [1, 3] and len(got) == 6  # by conversation, by parent, not by chance
+    monkeypatch.setattr(emails, "inherited", lambda units: units.select("doc_id", "no", F.lit(False).alias("short")).limit(0))
+    assert [x[0] for x in mails(spark, rows) if "ledger" in x[1]] == [1, 2, 3, 4, 5]
+
+
+def test_messages_without_a_date_or_sender(spark):
+    old = "The insurer valued the annual ledger of the pool under protest."
+    two = [(1, "bob", "ann", None, "Fence", old), (2, "ann", "bob", None, "Re: Fence", old)]
+    assert [x[0] for x in mails(spark, two)] == [1, 2]  # earlier than none: neither is the other's source
+    assert [x[0] for x in mails(spark, [(1, "bob", "ann", None, "Fence", old), (2, "ann", "bob", 2, "Re: Fence", old)])] == [2]
+    d = spark.createDataFrame([(1, "eml", "Just a body.\nOf two lines."), (2, "eml", "Subject\nTo: Bob <b@b.example>\nNo sender here.")], "doc_id bigint, parser string, text string")
+    assert ids(emails.new_lines(d, d.select("doc_id", F.lit(1).alias("page"), "text")), "doc_id", "line_no") == [(1, 1), (1, 2), (2, 3)]
+
+
+def test_two_earliest_senders_are_all_that_is_kept(spark):
+    rng = random.Random(3)
+    rows = [("k", None if at == 50 else at, who) for at, who in ((rng.randrange(40), rng.randrange(9)) for _ in range(200))]
+    r = emails.two_earliest(spark.createDataFrame(rows, "k string, at bigint, who bigint"), "k").first()
+    first = min((a, w) for _, a, w in rows)
+    assert tuple(r.e1) == first and tuple(r.e2) == min((a, w) for _, a, w in rows if w != first[1])
+
+
+def test_recall_of_near_sentences(spark):
+    """Sentences with up to two small edits: the share of what brute force finds within the edit distance."""
+    rng = random.Random(12)
+    base = [text(rng, rng.randrange(12, 25)) for _ in range(400)]
+
+    def edited(s):
+        for _ in range(rng.choice((1, 2))):
+            i = rng.randrange(len(s))
+            s = rng.choice((s[:i] + s[i + 1 :], s[:i] + "q" + s[i:], s[:i] + "z" + s[i + 1 :]))
+        return s
+
+    x = emails.with_fingerprints(spark.createDataFrame([(i, s) for i, s in enumerate(base)], "x bigint, text string"), "text")
+    y = emails.with_fingerprints(spark.createDataFrame([(i, edited(s)) for i, s in enumerate(base)], "y bigint, text string"), "text")
+    got = set(ids(emails.near_texts(x, y, None), "x", "y"))
+    assert len({(a, b) for a, b in got if a == b}) >= 0.9 * 400
 
 
 # p2
