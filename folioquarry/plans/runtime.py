@@ -65,3 +65,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= want:
         return df
     return df.repartition(want, key)
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` with a broadcast hint where it has ``rows`` rows or fewer, counted; for narrow tables of ids and parameters."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
