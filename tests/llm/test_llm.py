@@ -530,11 +530,12 @@ def test_hot_groups(spark):
 
 def test_hot_conversation(spark):
     """All messages share one subject; a sentence that all have is boilerplate of no one and inherited by the later ones of other senders."""
+    rng = random.Random(44)  # own sentences within the edit distance of each other would be inherited
     rows = []
     for i in range(40):
         s = f"Ann{i % 4} Lee <a{i % 4}@lee-co.example>"
         head = f"Re: One\nFrom: {s}\nTo: Bob Ray <bob@ray.example>\nDate: Tue, {1 + i % 28:02d} Jan 2024 {i // 28:02d}:00:00 +0000\n"
-        rows.append((i, "eml", head + f"The insurer valued the common annual ledger under protest.\nMy own sentence of number n{i}x stands below it all."))
+        rows.append((i, "eml", head + f"The insurer valued the common annual ledger under protest.\n{text(rng, 12)} n{i}x."))
     d = spark.createDataFrame(rows, "doc_id bigint, parser string, text string")
     got = ids(emails.new_lines(d, d.select("doc_id", F.lit(1).alias("page"), "text")), "doc_id", "line_no")
     assert {k for k, n in got if n == 6} == set(range(40)) and (0, 5) in got and len([1 for _, n in got if n == 5]) < 10
