@@ -1,7 +1,8 @@
 """Content-defined chunking with overlap (p3).
 
 A gear hash rolls over the characters; a position whose hash has ``mask_bits`` zero bits is a landmark. Each landmark
-snaps to the nearest natural boundary (a paragraph, line or sentence end). A piece ends at the first snapped landmark
+snaps to a natural boundary: to the nearest end of a paragraph within ``REACH`` characters, else to the nearest end of a
+sentence within them, else to the nearest end of a paragraph, sentence or line. A piece ends at the first snapped landmark
 between the minimum and the maximum size, else at the last natural boundary within them, else at white space, else at the
 maximum size. The next piece starts ``overlap`` characters before that end. Since landmarks depend on the text near them
 only, an edit alters the pieces about it, and the cuts fall into step again after it.
@@ -19,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_SIZE, MIN_SIZE, OVERLAP, MASK_BITS = 1500, 700, 200, 7
-#: Characters that end a sentence, and those that may follow before the white space.
-ENDERS, CLOSERS = ".!?…。！？", "\"')]}»”’"
+MAX_SIZE, MIN_SIZE, OVERLAP, MASK_BITS, REACH = 1500, 700, 200, 7, 150
+#: Characters that end a sentence before white space, those that may follow them, and those that end one anywhere.
+ENDERS, CLOSERS, FULL = ".!?…", "\"')]}»”’」』）", "。！？"
 
 
 def _gear(codes: np.ndarray) -> np.ndarray:
@@ -40,18 +41,32 @@ def _gear(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def _boundaries(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions after which the text may be cut: natural boundaries, and white space."""
+def _boundaries(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions after which the text may be cut: ends of paragraphs, of sentences, all natural boundaries, and white space."""
     blank = (codes == 32) | ((codes >= 9) & (codes <= 13)) | (codes == 0xA0) | (codes == 0x2028) | (codes == 0x2029) | (codes == 0x3000)
     line = codes == 10
-    ender = np.isin(codes, [ord(c) for c in ENDERS])
     closer = np.isin(codes, [ord(c) for c in CLOSERS])
-    done = ender.copy()
-    for _ in range(2):  # up to two closing quotes or brackets
-        done[1:] |= closer[1:] & done[:-1]
-    natural = line.copy()
-    natural[1:] |= blank[1:] & done[:-1]
-    return np.flatnonzero(natural) + 1, np.flatnonzero(blank) + 1
+
+    def closed(done: np.ndarray) -> np.ndarray:
+        for _ in range(2):  # up to two closing quotes or brackets
+            done[1:] |= closer[1:] & done[:-1]
+        return done
+
+    full = closed(np.isin(codes, [ord(c) for c in FULL]))
+    full[:-1] &= ~closer[1:]  # the closing quote stays with its sentence
+    sentence = full.copy()
+    sentence[1:] |= blank[1:] & closed(np.isin(codes, [ord(c) for c in ENDERS]))[:-1]
+    paragraph = np.zeros(len(codes), dtype=bool)
+    paragraph[1:] = line[1:] & (line[:-1] | ((codes[:-1] == 13) & np.append([False], line[:-2] if len(line) > 1 else []).astype(bool)))
+    return tuple(np.flatnonzero(x) + 1 for x in (paragraph, sentence, paragraph | sentence | line, blank))
+
+
+def _nearest(places: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Of each mark the nearest place (the earlier of two); there is one at least."""
+    right = np.searchsorted(places, marks)
+    left = places[np.clip(right - 1, 0, len(places) - 1)]
+    right = places[np.clip(right, 0, len(places) - 1)]
+    return np.where(np.abs(right - marks) < np.abs(marks - left), right, left)
 
 
 def cuts(text: str, max_size: int = MAX_SIZE, overlap: int = OVERLAP, min_size: int = MIN_SIZE, mask_bits: int = MASK_BITS) -> list[tuple[int, int]]:
@@ -64,20 +79,21 @@ def cuts(text: str, max_size: int = MAX_SIZE, overlap: int = OVERLAP, min_size:
     if not overlap < min_size <= max_size:
         raise ValueError("needs overlap < min_size <= max_size")
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    natural, blank = _boundaries(codes)
+    paragraph, sentence, natural, blank = _boundaries(codes)
     marks = np.flatnonzero(_gear(codes) & np.uint64((1 << mask_bits) - 1) == 0) + 1
     snapped = marks
     if len(natural):
-        right = np.searchsorted(natural, marks)
-        left = np.clip(right - 1, 0, len(natural) - 1)
-        right = np.clip(right, 0, len(natural) - 1)
-        near = np.where(np.abs(natural[right] - marks) <= np.abs(marks - natural[left]), right, left)
-        snapped = np.unique(natural[near])
+        snapped = _nearest(natural, marks)
+        for places in (sentence, paragraph):
+            if len(places):
+                near = _nearest(places, marks)
+                snapped = np.where(np.abs(near - marks) <= REACH, near, snapped)
+        snapped = np.unique(snapped)
     out, start = [], 0
     while n - start > max_size:
         low, high = start + min_size, start + max_size
         end = 0
-        for where, first in ((snapped if len(natural) else natural, True), (natural, False), (blank, False)):
+        for where, first in ((snapped if len(natural) else natural, True), (paragraph, False), (sentence, False), (natural, False), (blank, False)):
             k = np.searchsorted(where, low) if first else np.searchsorted(where, high, side="right") - 1
             if 0 <= k < len(where) and low <= where[k] <= high:
                 end = int(where[k])

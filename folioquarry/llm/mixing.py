@@ -5,9 +5,11 @@ Each source gets ``target_share`` x the size of all documents, in tokens. Whole
 Spirakis: every document draws an exponential key ``-ln(u) / weight``, and documents are taken in order of their keys
 while the prefix sum of their tokens stays within the budget.
 
-The prefix sum is distributed: keys map monotonically to ``buckets`` slots, token sums per (source, slot) are
-pre-aggregated, a window over the few slots of a source finds the slot in which the budget ends, and only the documents
-of that slot are sorted. A source with a third of all rows is therefore never sorted in one task.
+The prefix sum is distributed: keys map monotonically to slots, token sums per (source, slot) are pre-aggregated, a window
+over the slots of a source finds the slot in which the budget ends, and only the documents of that slot are sorted. A
+slot is 1/``buckets`` of a doubling of the key, in which at most a quarter of a source is expected whatever its weights
+(the logarithm of an exponential key has no denser place, and a mixture of weights only spreads it), so a slot holds
+about 0.025 % of its source, and no source is sorted in one task.
 
 Defined cases: null and empty texts have 0 tokens and are never taken by the fractional pass; documents of a null or
 unlisted source count in the whole and are not mixed in; repeated rows are documents of their own; ties in the key are
@@ -23,22 +25,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioquarry.llm.tokens import DEFAULT_TOKENIZERS, count_tokens
+from folioquarry.llm.tokens import count_tokens, vocabulary
 from folioquarry.plans.runtime import cut, spread
 
 
-def sized(docs: DataFrame, tokenizers: str = DEFAULT_TOKENIZERS) -> DataFrame:
+def sized(docs: DataFrame, tokenizers: str) -> DataFrame:
     """``doc_id``, ``source``, ``tokens`` and a quality ``weight`` in (0, 1] per document.
 
     The weight is characters per token over 4, at most 1 (garbled text takes many tokens for few characters), and a
     quarter of that for documents recorded as duplicates.
     """
 
+    words = vocabulary(tokenizers)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf[["doc_id", "source", "copied"]].copy()
             out["chars"] = pdf["text"].str.len()
-            out["tokens"] = count_tokens(pdf["text"].tolist(), tokenizers)
+            out["tokens"] = count_tokens(pdf["text"].tolist(), words)
             yield out
 
     copied = F.col("duplicate_of").isNotNull() if "duplicate_of" in docs.columns else F.lit(False)
@@ -67,7 +71,7 @@ def mix(sizes: DataFrame, weights: DataFrame, seed: int = 17, buckets: int = 102
     """``source``, ``doc_id``, ``tokens`` and ``copies`` (0 or more) of each document of the listed sources."""
     p = plan(sizes, weights).select("source", "epochs", "fraction_tokens")
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-    keyed = sizes.withColumn("_key", -F.log(u) / F.col("weight")).withColumn("_slot", F.floor((1 - F.exp(-F.col("_key"))) * buckets).cast("int"))
+    keyed = sizes.withColumn("_key", -F.log(u) / F.col("weight")).withColumn("_slot", F.floor(F.log2(F.col("_key")) * buckets).cast("int"))
     slots = keyed.groupBy("source", "_slot").agg(F.sum("tokens").alias("_held"))
     before = F.coalesce(F.sum("_held").over(Window.partitionBy("source").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slots = slots.withColumn("_before", before).join(p, "source").withColumn("_left", F.col("fraction_tokens") - F.col("_before"))
@@ -86,6 +90,6 @@ def report(sizes: DataFrame, weights: DataFrame, seed: int = 17) -> DataFrame:
     return out.join(F.broadcast(total)).withColumn("reached_share", F.try_divide("mixed_tokens", "_total")).drop("_total")  # ``total`` is one row
 
 
-def mixed(docs: DataFrame, weights: DataFrame, tokenizers: str = DEFAULT_TOKENIZERS) -> DataFrame:
+def mixed(docs: DataFrame, tokenizers: str) -> DataFrame:
     """Sizes once, written to the shared checkpoint folder for the passes that follow."""
     return cut(sized(docs, tokenizers))

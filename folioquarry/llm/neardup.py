@@ -10,7 +10,8 @@ are verified on their whole token sets.
 
 The first two steps of every path depend on the text alone and are made in the one pass that reads the texts; deeper
 steps, which only texts in large buckets take, read those texts again. After ``max_depth`` steps a bucket that is still
-large consists of texts that share nearly everything, and is compared whole: no text is dropped and no bucket capped.
+large consists of texts that share nearly everything, and is compared whole, in blocks of ``bucket`` texts, each pair of
+blocks under a key of its own: no text is dropped, no bucket capped, and no task gets one whole.
 
 Defined cases: null texts are not taken; texts of fewer than ``k`` words have an empty set, which is similar to nothing;
 repeated and very long texts are taken whole; doc ids that occur twice count once; an empty table gives no pairs.
@@ -117,14 +118,25 @@ class PathJoin:
 
     def _compare(self, rows: DataFrame) -> DataFrame:
         """Pairs within the buckets of ``rows`` (key, id, n, b1, b2) that sizes and sketches let pass."""
-        x, y = rows.alias("x"), rows.alias("y")
+        return self._pairs(rows.alias("x"), rows.alias("y"))
+
+    def _pairs(self, x: DataFrame, y: DataFrame) -> DataFrame:
         near = (F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))) <= self.off
         sizes = (F.col("x.n") * self.den >= F.col("y.n") * self.num) & (F.col("y.n") * self.den >= F.col("x.n") * self.num)
         return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & sizes & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
-    def _near_texts(self, few: DataFrame) -> DataFrame:
-        """The texts of ``few`` (written already), which goes to the texts if its counted rows allow, so that these aren't shuffled."""
-        return self.texts.join(F.broadcast(few) if few.count() <= self.broadcast_rows else few, "id")
+    def _blocks(self, rows: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Pairs within large buckets: a text meets each block of its bucket under a key of the two blocks."""
+        many = F.ceil(F.col("c") / self.bucket).cast("int")
+        r = rows.join(sizes, "key").withColumn("m", many).withColumn("own", F.pmod(F.xxhash64("id"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        cols = ("id", "n", "b1", "b2")
+        x, y = (r.select(F.xxhash64("key", *pair).alias("key"), *cols).alias(side) for side, pair in (("x", ("own", "other")), ("y", ("other", "own"))))
+        return self._pairs(x, y)
+
+    def _near_texts(self, few: DataFrame, weight=None) -> DataFrame:
+        """The texts of ``few`` (written already), which goes to the texts if its counted rows (and array elements) allow, so that these aren't shuffled."""
+        held = few.agg(F.count(F.lit(1)) if weight is None else F.sum(weight)).first()[0] or 0
+        return self.texts.join(F.broadcast(few) if held <= self.broadcast_rows else few, "id")
 
     def _deeper(self, rows: DataFrame) -> DataFrame:
         """One more step for the (key, id, ...) of large buckets; the texts are read again."""
@@ -141,7 +153,7 @@ class PathJoin:
                 yield pd.DataFrame(out, columns=["key", "id", "n", "b1", "b2"])
 
         kind = dict(self.texts.dtypes)["id"]
-        return self._near_texts(paths).mapInPandas(run, f"key bigint, id {kind}, n int, b1 bigint, b2 bigint")
+        return self._near_texts(paths, F.size("paths") + 4).mapInPandas(run, f"key bigint, id {kind}, n int, b1 bigint, b2 bigint")
 
     def candidates(self) -> DataFrame:
         """Pairs of representatives that some bucket brought together."""
@@ -150,8 +162,9 @@ class PathJoin:
         for depth in range(1, self.max_depth + 1):
             sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
             last = depth == self.max_depth
-            small = rows.join(sizes.where(F.lit(True) if last else F.col("c") <= self.bucket).select("key"), "key", "left_semi")
-            got = cut(self._compare(small))
+            small = rows.join(sizes.where(F.col("c") <= self.bucket).select("key"), "key", "left_semi")
+            got = self._compare(small)
+            got = cut(got.unionByName(self._blocks(rows, sizes.where(F.col("c") > self.bucket))) if last else got)
             found = got if found is None else found.unionByName(got)
             large = sizes.where(F.col("c") > self.bucket).select("key")
             if last or not large.limit(1).count():
@@ -175,7 +188,7 @@ class PathJoin:
 
         kind = dict(self.texts.dtypes)["id"]
         tokens = cut(self._near_texts(ids).mapInPandas(run, f"id {kind}, tokens array<bigint>"))
-        tokens = tokens.groupBy("id").agg(F.first("tokens").alias("tokens")) if self.repeated else tokens
+        tokens = tokens.groupBy("id").agg(F.min("tokens").alias("tokens")) if self.repeated else tokens
         x = cand.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
         x = x.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("shared"), (F.size("ta") + F.size("tb")).alias("sum"))
         return x.select("a", "b", "shared", (F.col("sum") - F.col("shared")).alias("total")).where(F.col("shared") * self.den >= F.col("total") * self.num)

@@ -33,8 +33,18 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pieces(table(spark, sf_dir, "chunks"))
 
 
+@query("select chunk_id, count(*) as copies, max(length(text)) as n_chars, min(md5(text)) as digest, case when max(length(text)) > 1500 then 1500 else max(length(text)) end as room from chunks where length(text) > 0 group by 1")
+def p3_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each chunk the digest of its text put together again from its pieces, without what neighbours share, and the room that they need at most."""
+    p = chunking.pieces(table(spark, sf_dir, "chunks"))
+    new = F.when(F.col("piece_no") == 0, F.col("text")).otherwise(F.substring("text", chunking.OVERLAP + 1, 1 << 30))
+    whole = p.groupBy("chunk_id").agg(F.count_if(F.col("piece_no") == 0).alias("copies"), F.max(F.length("text")).alias("longest"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("piece_no", new.alias("t")))), lambda x: x["t"]), "").alias("text"))  # one chunk's pieces
+    n = F.length("text")
+    return whole.select("chunk_id", "copies", n.alias("n_chars"), F.md5("text").alias("digest"), F.when((n > chunking.MAX_SIZE) & (F.col("longest") <= chunking.MAX_SIZE), chunking.MAX_SIZE).otherwise(F.col("longest")).alias("room"))
+
+
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))
+    return mixing.mixed(table(spark, sf_dir, "documents"), spark.conf.get("folioquarry.tokenizers", "/opt/tokenizers"))
 
 
 @query("""with t as (select sum(length(text)) as whole from documents), o as (select source, sum(length(text)) as own from documents group by 1) select w.source from source_weights w left join o using (source), t where target_share * whole > max_repeats * coalesce(own, 0)""")
@@ -73,6 +83,17 @@ def p5_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("item").alias("result_id"), (F.col("consensus") == 1).alias("consensus"), F.round("confidence", 4).alias("confidence"), "votes", F.round("agreement", 6).alias("agreement"))
 
 
+@query("""with h as (select result_id, unnest(judge_history) as h from field_results), v as (select result_id, lower(trim(h.judge)) as judge, h.judged_at as t, h.verdict::int as label from h where h.verdict is not null and h.judged_at is not null and trim(h.judge) <> ''),
+  l as (select result_id, judge, max_by(label, {'t': t, 'label': label}) as label from v group by 1, 2), c as (select result_id, count(*) as n, sum(label) as a from l group by 1)
+  select result_id, n as votes, case when n > 1 then round((a * (a - 1) + (n - a) * (n - a - 1)) / (n * (n - 1))::double, 6) end as agreement from c""")
+def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of judges of each result and the share of their pairs that agree, apart from the model."""
+    v = consensus.latest_votes(table(spark, sf_dir, "field_results").select("result_id", "judge_history"))
+    c = v.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("a"))
+    n, a = F.col("n"), F.col("a")
+    return c.select(F.col("item").alias("result_id"), n.alias("votes"), F.round(F.try_divide(a * (a - 1) + (n - a) * (n - a - 1), n * (n - 1)), 6).alias("agreement"))
+
+
 @query()
 def p5_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each judge: the chance of a right verdict where the answer is wrong, and where it is right."""
@@ -122,12 +143,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, k=3, threshold=(7, 10)).found().select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
-@query()
+def _pair_sql(k: int, num: int, den: int) -> str:
+    grams = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
+    return f"""w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents where text is not null), s as (select distinct doc_id, {grams} as g from (select doc_id, w, unnest(range(1, len(w) - {k - 2})) as i from w)),
+  n as (select doc_id, count(*) as n from s group by 1), p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2), q as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where {den} * k >= {num} * (x.n + y.n - k))"""
+
+
+@query(f"""with recursive {_pair_sql(5, 8, 10)}, e as (select a, b from q union all select b, a from q), r(id, reach) as (select doc_id, doc_id from n union select r.id, e.b from r join e on e.a = r.reach),
+  c as (select id, min(reach) as class_id from r group by 1), d as (select a, count(*) as links from e group by 1) select id as doc_id, class_id, coalesce(links, 0) as links from c left join d on d.a = c.id""")
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups at the general setting (five words, 0.8): class and number of links of each document."""
     return _near(spark, sf_dir).classes().withColumnRenamed("id", "doc_id")
 
 
+@query()
+def p2_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as pairs between representatives of equal word sets, with what they share, and membership: ``kind`` is link or member."""
+    j = _near(spark, sf_dir)
+    links = j.pairs().select(F.lit("link").alias("kind"), F.col("a").alias("representative"), F.col("b").alias("doc_id"), "shared", "total")
+    return links.unionByName(j.members().select(F.lit("member").alias("kind"), F.col("rep").alias("representative"), F.col("id").alias("doc_id"), F.lit(None).cast("int").alias("shared"), F.lit(None).cast("int").alias("total")))
+
+
 def _new_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emails.new_lines(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_text"))
 

@@ -1,4 +1,4 @@
-"""Token counts by a public byte-level vocabulary; the folder of the vocabularies is a parameter."""
+"""Token counts by a public byte-level vocabulary. Its folder is a parameter; the driver reads it and the tasks get its bytes."""
 
 from __future__ import annotations
 
@@ -6,23 +6,27 @@ import base64
 import os
 from functools import lru_cache
 
-DEFAULT_TOKENIZERS = "/opt/tokenizers"
+VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern published with the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def vocabulary(folder: str, name: str = VOCABULARY) -> bytes:
+    with open(os.path.join(folder, name), "rb") as f:
+        return f.read()
+
+
 @lru_cache(maxsize=4)
-def encoding(folder: str, name: str = "byte_bpe_50k.tiktoken"):
+def encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(os.path.join(folder, name), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(texts: list[str], folder: str = DEFAULT_TOKENIZERS) -> list[int]:
+def count_tokens(texts: list[str], vocabulary: bytes) -> list[int]:
     """Tokens of each text, over the whole text."""
-    enc = encoding(folder)
+    enc = encoding(vocabulary)
     out = []
     for t in texts:
         try:

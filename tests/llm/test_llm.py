@@ -100,12 +100,12 @@ def _company(n=30):
 def test_notices_are_learnt_from_repetition(spark, monkeypatch):
     rows = _company()
     once = (99, "zed", "t1", 3, "Other", "This stands here once only.\nRegards,\nAll of our other work is done in the month of March.")
-    near = (98, "zed", "t1", 4, "Else", "My text.\nRegards,\n" + NOTICE.replace("usual", "usuall"))
-    got = mails(spark, [*rows, once, near])
-    assert not [x for x in got if x[1].startswith("All of our work")] and len(got) == 30 + 3
+    near = [(90 + k, f"zed{k}", "t1", 4, f"Else {k}", "My text.\nRegards,\n" + NOTICE.replace(a, b)) for k, (a, b) in enumerate((("usual", "usuall"), ("trade", "trades"), ("work", "worke"), ("of trade", "off trade"), ("All", "Al")))]
+    got = mails(spark, [*rows, once, *near])
+    assert not [x for x in got if x[1] == NOTICE] and len(got) <= 30 + 2 + 5 + 1  # near ones are found but for one at most
     empty = lambda units: units.select("doc_id", "no").limit(0)
     monkeypatch.setattr(emails, "boilerplate", empty)  # without the pass nothing tells a notice
-    assert len([x for x in mails(spark, [*rows, once, near]) if x[1].startswith("All of our work")]) == 31
+    assert len([x for x in mails(spark, [*rows, once, *near]) if x[1] == NOTICE]) == 30
 
 
 def test_pasted_text_is_found_by_its_source(spark, monkeypatch):
@@ -464,7 +464,7 @@ def test_mix_reaches_shares(spark):
 
 def test_sized(spark):
     d = spark.createDataFrame([(1, "a", "two words", None, "x"), (2, None, None, 1, "x"), (3, "a", "", None, "x"), (4, "a", "é ퟿" * 5000, None, "x")], "doc_id bigint, source string, text string, duplicate_of bigint, tokens string")
-    got = {r.doc_id: r for r in mixing.sized(d).collect()}
+    got = {r.doc_id: r for r in mixing.sized(d, "/opt/tokenizers").collect()}
     assert got[1].tokens == 2 and got[2].tokens == 0 and got[3].tokens == 0 and got[4].tokens > 5000
 
 
@@ -500,7 +500,7 @@ def test_truncation_on_held_out_cuts(spark):
 def test_ids_with_nulls_stay_whole(spark):
     big = (1 << 60) + 1
     d = spark.createDataFrame([(big, "a", "some text here.", None), (None, "a", "some text here.", None)], "doc_id bigint, source string, text string, duplicate_of bigint")
-    assert {r.doc_id for r in mixing.sized(d).collect()} == {big, None}
+    assert {r.doc_id for r in mixing.sized(d, "/opt/tokenizers").collect()} == {big, None}
     assert {r.doc_id for r in truncation.detect(d).collect()} == {big, None}
     p = " ".join(f"w{i}" for i in range(20))
     t = spark.createDataFrame([(big, p), (None, p)], "doc_id bigint, text string")
