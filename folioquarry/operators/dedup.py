@@ -57,7 +57,7 @@ def near_links(prints: DataFrame) -> DataFrame:
     return p.join(per, "simhash").select("doc_id", "class_id", "links")
 
 
-def greedy_leaders(prints: DataFrame, max_rounds: int = 100) -> DataFrame:
+def greedy_leaders(prints: DataFrame) -> DataFrame:
     """``doc_id``, ``leader`` of documents that joined an earlier leader, as a pass in order of ids decides it.
 
     A class is a leader if no earlier class near it is one. That is settled in rounds: whoever has an earlier leader near
@@ -68,7 +68,7 @@ def greedy_leaders(prints: DataFrame, max_rounds: int = 100) -> DataFrame:
     f, e = near_classes(p)
     e = cut(e.select("a", "b"))
     state = cut(f.select(F.col("rep").alias("id"), F.lit(0).alias("s")))  # 0 open, 1 leader, 2 follower
-    for _ in range(max_rounds):
+    while True:  # the least open class is settled in every round
         before = e.join(state.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").groupBy("b").agg(F.max((F.col("sa") == 1).cast("int")).alias("led"), F.max((F.col("sa") == 0).cast("int")).alias("open"))
         nxt = state.join(before, state.id == before.b, "left").select("id", F.when(F.col("s") != 0, F.col("s")).when(F.coalesce("led", F.lit(0)) == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0).alias("s"))
         state = cut(nxt)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioquarry.plans.runtime import cut
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None) -> DataFrame:
     """``node``, ``component`` (the least node of the component) by minimum labels with pointer jumping.
 
     Each round takes the least label among a node's neighbours (a pre-aggregated group-by, so a hub costs no more than its
@@ -23,7 +23,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: Data
     loops = edges.select(F.col(src).alias("node")).where(f"{src} = {dst}") if nodes is None else nodes.select("node").where("node is not null")
     every = both.select(F.col("a").alias("node")).unionByName(loops).distinct()
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"))
-    for _ in range(max_rounds):
+    while True:  # every round lowers a label or ends it
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         new = labels.join(near, labels.node == near.a).select("node", F.least("component", "near").alias("up"), F.col("component").alias("old"))
         roots = labels.select(F.col("node").alias("up"), F.col("component").alias("top"))

@@ -29,14 +29,13 @@ def resolutions(answers: DataFrame, *keys: str, passes: int, answer: str = "answ
     return every.withColumn("resolution", F.when(F.col("best") == passes, "unanimous").when(2 * F.col("best") > passes, "majority").otherwise("split")).withColumn("agreement", F.col("best") / passes)
 
 
-def closed_counts(labels: DataFrame, vocabulary: list[str], label: str = "label") -> DataFrame:
-    """Counts over a closed vocabulary, zeros included; labels outside it raise when the counts are used."""
-    spark = labels.sparkSession
-    v = spark.createDataFrame([(x,) for x in sorted(set(vocabulary))], "label string")
+def closed_counts(labels: DataFrame, vocabulary: list[str] | DataFrame, label: str = "label") -> DataFrame:
+    """Counts over a closed vocabulary (a list, or a table with a column ``label`` of any size), zeros included; labels outside it, null among them, raise when the counts are used."""
+    v = vocabulary.select("label").where("label is not null").distinct() if isinstance(vocabulary, DataFrame) else labels.sparkSession.createDataFrame([(x,) for x in sorted(set(vocabulary))], "label string")
     got = labels.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    odd = ~F.col("label").isin(*vocabulary) | F.col("label").isNull()
-    got = got.withColumn("n", F.when(odd, F.raise_error(F.concat(F.lit("label outside the vocabulary: "), F.coalesce("label", F.lit("null"))))).otherwise(F.col("n")))
-    return v.join(got, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
+    j = v.withColumn("_known", F.lit(True)).join(got, "label", "full")
+    odd = F.raise_error(F.concat(F.lit("label outside the vocabulary: "), F.coalesce("label", F.lit("null"))))
+    return j.select("label", F.when(F.col("_known").isNull(), odd.cast("bigint")).otherwise(F.coalesce("n", F.lit(0))).alias("n"))
 
 
 def extremes(counts: DataFrame) -> DataFrame:

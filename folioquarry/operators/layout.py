@@ -17,20 +17,25 @@ def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
 
 def window_rows(df: DataFrame, *keep: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """``chunk_no``, ``char_start``, ``char_end``, ``text`` of each window."""
-    w = df.select(*keep, "text", F.posexplode(windows(F.col("text"), size, overlap)).alias("chunk_no", "char_start"))
-    return w.select(*keep, "chunk_no", "char_start", F.least(F.col("char_start") + size, F.length("text")).alias("char_end"), F.substring("text", F.col("char_start") + 1, F.lit(size)).alias("text"))
+    step = size - overlap
+    if not 0 <= overlap <= step:
+        raise ValueError("needs 0 <= overlap <= size / 2")
+    # A text is split once into pieces of a step: a window is its piece and the head of the next, so the cost is linear in the text.
+    d = df.select(*keep, F.length("text").alias("_n"), windows(F.col("text"), size, overlap).alias("_w"), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("_p"))
+    d = d.select(*keep, "_n", F.posexplode(F.transform("_w", lambda at, i: F.struct(at.alias("at"), F.concat(F.get("_p", i), F.coalesce(F.left(F.get("_p", i + 1), F.lit(overlap)), F.lit(""))).alias("text")))).alias("chunk_no", "_c"))
+    return d.select(*keep, "chunk_no", F.col("_c.at").alias("char_start"), F.least(F.col("_c.at") + size, F.col("_n")).alias("char_end"), F.col("_c.text").alias("text"))
 
 
 def page_offsets(pages: DataFrame, doc: str = "doc_id", page: str = "page") -> DataFrame:
     """Global offsets of pages from their lengths: repeated pages once, in page order."""
-    once = pages.groupBy(doc, page).agg(F.first("text").alias("text"))
+    once = pages.groupBy(doc, page).agg(F.min("text").alias("text"))
     end = F.sum(F.length("text")).over(Window.partitionBy(doc).orderBy(page).rowsBetween(Window.unboundedPreceding, 0))
     return once.select(doc, page, (end - F.length("text")).cast("int").alias("char_start"), end.cast("int").alias("char_end"), "text")
 
 
 def assemble(pages: DataFrame, doc: str = "doc_id", page: str = "page") -> DataFrame:
     """The whole text of each document from its pages, once each and in order."""
-    once = pages.groupBy(doc, page).agg(F.first("text").alias("text"))
+    once = pages.groupBy(doc, page).agg(F.min("text").alias("text"))
     parts = once.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(page, "text"))).alias("p"))  # a document's own pages
     return parts.select(doc, F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
 

@@ -30,12 +30,12 @@ def to_ingest(listing: DataFrame, done: DataFrame) -> DataFrame:
     return listing.join(done.where("source_identity is not null").select("source_identity").distinct(), "source_identity", "left_anti")
 
 
-def descendants(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """``root``, ``id`` of everything below each root over (id, parent) edges, the root included; cycles end."""
     e = cut(edges.select("id", "parent").where("id is not null and parent is not null").distinct())
     seen = cut(roots.select(F.col("id").alias("root"), "id").distinct())
     front = seen
-    for _ in range(max_rounds):
+    while True:  # every round finds new descendants or ends it
         nxt = front.join(e.select(F.col("id").alias("child"), F.col("parent").alias("id")), "id").select("root", F.col("child").alias("id")).distinct()
         front = cut(nxt.join(seen, ["root", "id"], "left_anti"))
         if not front.limit(1).count():

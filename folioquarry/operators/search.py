@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,15 +28,29 @@ def _check_k(k: int) -> int:
 def route_tables(manifest: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, table_name) worth a look: a term overlaps a column name or the caption of a trusted or unchecked table, or the query has numbers and the table isn't untrusted.
 
-    ``manifest``: table_name, columns, caption, status; ``queries``: query_id, terms, numbers. Containment has no key to
-    join on: the queries are the stated set, each held against every table's names, which are small next to the cells
-    they prune.
+    ``manifest``: table_name, columns, caption, status; ``queries``: query_id, terms, numbers. An automaton of the distinct
+    terms of the stated queries finds those within each table's names, and queries meet tables by an equi-join on the
+    term. Queries with numbers take every such table, which is no more than what comes out.
     """
     m = manifest.withColumn("_hay", F.lower(F.concat_ws(" ", F.array_join("columns", " "), F.coalesce("caption", F.lit("")))))
-    m = m.where("status in ('trusted', 'unchecked', 'reextracted')")
-    q = queries.withColumn("_t", F.transform("terms", lambda t: F.lower(t)))
-    hit = (F.size("numbers") > 0) | F.exists("_t", lambda t: F.contains(F.col("_hay"), t))
-    return q.join(m, hit).select("query_id", "table_name")
+    m = m.where("status in ('trusted', 'unchecked', 'reextracted')").select("table_name", "_hay")
+    numeric = queries.where(F.size("numbers") > 0).select("query_id")
+    q = queries.where(~F.coalesce(F.size("numbers") > 0, F.lit(False))).select("query_id", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t)))).alias("term"))
+    terms = [r.term for r in q.select("term").distinct().where("term <> ''").collect()]  # of the stated queries
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for t in terms:
+            a.add_word(t, t)
+        a.make_automaton()
+        for pdf in batches:
+            rows = {(n, t) for n, hay in zip(pdf["table_name"], pdf["_hay"]) for _, t in (a.iter(hay) if terms else ())}
+            yield pd.DataFrame(sorted(rows), columns=["table_name", "term"])
+
+    met = m.mapInPandas(run, "table_name string, term string").join(q, "term").select("query_id", "table_name").distinct()
+    return met.unionByName(numeric.join(m.select("table_name"), F.lit(True)).select("query_id", "table_name"))
 
 
 def cell_hits(cells: DataFrame, terms: list[str], numbers: list[float], tables: DataFrame | None = None, per_table: int = 20) -> DataFrame:
@@ -72,11 +87,14 @@ def rank_hits(hits: DataFrame, terms: list[str], asked_years: list[str], text: s
 def grep_context(docs: DataFrame, pattern: str, context: int = 0, max_hits: int | None = None) -> DataFrame:
     """Matching lines with ``context`` lines on both sides, from the array of a document's lines: no self-join. ``max_hits`` keeps the first hits by (doc_id, line)."""
     d = docs.where("text is not null").select("doc_id", F.split("text", "\n").alias("l"))
-    hits = d.select("doc_id", "l", F.explode(F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: F.element_at("l", i).rlike(pattern))).alias("hit_line"))
+    low = lambda i: F.greatest(i - context, F.lit(1))
+    found = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: F.element_at("l", i).rlike(pattern))
+    # A hit carries its own lines only, not its document's.
+    hits = d.select("doc_id", F.explode(F.transform(found, lambda i: F.struct(i.alias("hit_line"), F.slice("l", low(i), i + context - low(i) + 1).alias("near")))).alias("h"))
     if max_hits is not None:
-        hits = hits.orderBy("doc_id", "hit_line").limit(max_hits)
-    near = F.explode(F.sequence(F.greatest(F.col("hit_line") - context, F.lit(1)), F.least(F.col("hit_line") + context, F.size("l"))))
-    return hits.withColumn("line_no", near).select("doc_id", "hit_line", "line_no", F.element_at("l", F.col("line_no")).alias("text"), (F.col("line_no") == F.col("hit_line")).alias("is_hit"))
+        hits = hits.orderBy("doc_id", "h.hit_line").limit(max_hits)
+    hits = hits.select("doc_id", F.col("h.hit_line").alias("hit_line"), F.posexplode("h.near").alias("_i", "text"))
+    return hits.select("doc_id", "hit_line", (low(F.col("hit_line")) + F.col("_i")).cast("int").alias("line_no"), "text").withColumn("is_hit", F.col("line_no") == F.col("hit_line"))
 
 
 def match_spans(df: DataFrame, key: str, terms: list[str], bucket: int = 300) -> DataFrame:
@@ -162,8 +180,8 @@ def quantized(u: Column) -> Column:
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int | None = None, key: str = "vec_id", block: int = 2000) -> DataFrame:
     """(query_id, key, score): the best ``k`` by cosine for each query; with ``pool``, int8 scores choose that many first and exact ones rank them.
 
-    The stated queries go to the tasks in blocks of ``block`` vectors (a proven bound); each task keeps its own best and
-    only those are shuffled.
+    The stated queries go to the tasks in blocks of ``block`` vectors (a proven bound); each task keeps a running best over
+    all it reads, and only that is shuffled.
     """
     _check_k(k)
     import numpy as np
@@ -171,42 +189,37 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int | None =
     kinds = dict(vectors.dtypes)
     schema = f"query_id bigint, {key} {kinds[key]}, coarse double, score double"
     keep = pool or k
-
-    def blocks() -> Iterator[tuple]:
-        ids, vs = [], []
-        for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():
-            ids.append(r.query_id)
-            vs.append(r.embedding)
-            if len(ids) == block:
-                yield np.array(ids), np.array(vs, dtype=np.float64)
-                ids, vs = [], []
-        if ids:
-            yield np.array(ids), np.array(vs, dtype=np.float64)
-
+    block = max(1, min(block, 4_000_000 // max(1, keep)))  # what a task keeps is bounded
+    n = -(-queries.count() // block)
     out = None
-    for ids, q in blocks():
+    for b in range(n):
+        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", "embedding").collect()  # about a block
+        if not asked:
+            continue
+        ids, q = np.array([r.query_id for r in asked]), np.array([r.embedding for r in asked], dtype=np.float64)
         norm = np.linalg.norm(q, axis=1, keepdims=True)
         q = np.divide(q, norm, out=q.copy(), where=norm > 0)
 
         def run(batches, ids=ids, q=q):
             q8 = np.clip(np.rint(q * 127), -127, 127)
+            best_c, best_s, best_k = np.zeros((len(ids), 0)), np.zeros((len(ids), 0)), None
             for pdf in batches:
                 if not len(pdf):
                     continue
                 v = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                v = np.divide(v, n, out=v.copy(), where=n > 0)
-                exact = q @ v.T
+                size = np.linalg.norm(v, axis=1, keepdims=True)
+                v = np.divide(v, size, out=v.copy(), where=size > 0)
+                exact = np.round(q @ v.T, 6)
                 coarse = q8 @ np.clip(np.rint(v * 127), -127, 127).T if pool else exact
-                keys = pdf[key].to_numpy()
-                for i in range(len(ids)):
-                    c = coarse[i]
-                    if len(c) > keep:  # the keep-th best and its ties; ties go by key
-                        bar = np.partition(c, len(c) - keep)[len(c) - keep]
-                        at = np.flatnonzero(c >= bar)
-                    else:
-                        at = np.arange(len(c))
-                    yield pd.DataFrame({"query_id": np.repeat(ids[i], len(at)), key: keys[at], "coarse": c[at], "score": exact[i][at]})
+                keys = np.broadcast_to(pdf[key].to_numpy(), exact.shape)
+                # The task's best so far and this batch: the first ``keep`` by score, then by key.
+                c, s = np.concatenate([best_c, coarse], 1), np.concatenate([best_s, exact], 1)
+                k2 = keys if best_k is None else np.concatenate([best_k, keys], 1)
+                order = np.lexsort((k2, -c), axis=1)[:, :keep]
+                best_c, best_s, best_k = (np.take_along_axis(x, order, 1) for x in (c, s, k2))
+            if best_k is not None:
+                for at in range(len(ids)):
+                    yield pd.DataFrame({"query_id": ids[at], key: best_k[at], "coarse": best_c[at], "score": best_s[at]})
 
         part = vectors.where("embedding is not null").select(key, "embedding").mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -215,7 +228,6 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int | None =
     if pool:
         rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("coarse"), F.asc(key)))
         out = out.withColumn("rn", rn).where(F.col("rn") <= pool).drop("rn")
-    out = out.withColumn("score", F.round("score", 6))
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key)))
     return out.withColumn("rank", rn).where(F.col("rank") <= k).select("query_id", key, "score", "rank")
 
@@ -255,8 +267,8 @@ class Ladder:
             try:
                 if hits := self._some(4, query, k):
                     return 4, hits
-            except Exception:  # the only rung that may fail without failing the search
-                pass
+            except Exception as e:  # the only rung that may fail without failing the search
+                logging.getLogger(__name__).warning("rung 4 failed: %s", e)
         return 5, [{"kind": "estimate", "batches": -(-n // SWEEP)}]
 
 

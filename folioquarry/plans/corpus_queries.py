@@ -43,11 +43,11 @@ def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.infer_headers(grid)
 
 
-@query("""with h as (select table_name, unnest(header) as name from raw_tables), x as (select * from h where table_name < 't_c'), y as (select * from h where table_name >= 't_t'),
-  j as (select x.table_name as table_a, x.name as a, y.table_name as table_b, y.name as b, round(levenshtein(lower(x.name), lower(y.name)) / cast(greatest(length(x.name), length(y.name), 1) as double), 6) as distance from x join y on substring(regexp_replace(lower(x.name), '[^a-z0-9]', '', 'g'), 1, 1) = substring(regexp_replace(lower(y.name), '[^a-z0-9]', '', 'g'), 1, 1))
+@query("""with h as (select table_name, unnest(header) as name from raw_tables), x as (select * from h), y as (select * from h),
+  j as (select x.table_name as table_a, x.name as a, y.table_name as table_b, y.name as b, round(levenshtein(lower(x.name), lower(y.name)) / cast(greatest(length(x.name), length(y.name), 1) as double), 6) as distance from x join y on x.table_name < y.table_name)
   select table_a, a, table_b, b, distance from (select *, row_number() over (partition by table_a, a, table_b order by distance, b) as rn from j where distance <= 0.34) where rn = 1""")
 def schema_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns of all tables held against each other; the SQL still takes a few tables, and names of one first letter."""
+    """Columns of all tables held against each other."""
     return pipeline.schema_map(table(spark, sf_dir, "raw_tables").select("table_name", F.explode("header").alias("name")))
 
 

@@ -22,8 +22,8 @@ def _types(spark, sf_dir):
 def label_counts_closed_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts over a closed vocabulary: the event types and one that never occurs."""
     e = _types(spark, sf_dir)
-    known = [r.event_type for r in e.select("event_type").distinct().limit(1000).collect()]
-    return labels.closed_counts(e, [*known, "never_seen"], "event_type")
+    known = e.select(F.col("event_type").alias("label")).distinct().unionByName(spark.createDataFrame([("never_seen",)], "label string"))
+    return labels.closed_counts(e, known, "event_type")
 
 
 @query("""with v as (select unnest(list_concat((select list(distinct event_type) from events), ['never_seen'])) as label), c as (select label, coalesce(n, 0) as n from v left join (select event_type as label, count(*) as n from events group by 1) using (label))

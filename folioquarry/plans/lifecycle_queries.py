@@ -96,9 +96,9 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(table(spark, sf_dir, "documents").select("doc_id", "parent_doc_id"), "doc_id", "parent_doc_id")
 
 
-@query("""with m as (select distinct matter_code, author from documents where author is not null and matter_code is not null), p as (select a.author as x, b.author as y, count(*) as matters from m a join m b on a.matter_code = b.matter_code and a.author < b.author where a.matter_code <> (select matter_code from documents group by 1 order by count(*) desc, 1 limit 1) group by 1, 2) select x, y, matters from p where matters > 1""")
+@query("""with m as (select distinct matter_code, author from documents where author is not null and matter_code is not null), p as (select a.author as x, b.author as y, count(*) as matters from m a join m b on a.matter_code = b.matter_code and a.author < b.author group by 1, 2) select x, y, matters from p where matters > 1""")
 def relation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Authors that share more than one matter: relations of a graph summary. Every matter counts; the SQL still leaves the largest aside."""
+    """Authors that share more than one matter: relations of a graph summary. Every matter counts."""
     return graph.shared_pairs(table(spark, sf_dir, "documents"), "matter_code", "author").withColumnRenamed("shared", "matters")
 
 

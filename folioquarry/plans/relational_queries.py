@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioquarry.operators import temporal
+from folioquarry.operators.graph import shared_pairs
 from folioquarry.plans.registry import Registry
 from folioquarry.plans.runtime import table
 from folioquarry.streaming import ingest as stream
@@ -90,6 +91,37 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 21600)
 
 
+@query("""with u as (select distinct l_orderkey as k, l_partkey as p from lineitem) select a.p as x, b.p as y, count(*) as shared from u a join u b on a.k = b.k and a.p < b.p group by 1, 2 having count(*) >= 2""")
+def pairs_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that stand together in two orders or more: pairs by equi-join on the order, with an order on the parts."""
+    return shared_pairs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+
+
+@query("""with f as (select event_id, user_id, ts from events where event_id % 5 <> 0), r as (select user_id, ts as since, event_id as rate from events where event_id % 5 = 0)
+  select event_id, user_id, rate as in_force from (select f.event_id, f.user_id, r.rate, row_number() over (partition by f.event_id order by r.since desc, r.rate desc) as rn from f left join r on r.user_id = f.user_id and r.since <= f.ts) where rn = 1""")
+def effective_dated_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the rate of its user in force at its time."""
+    e = table(spark, sf_dir, "events")
+    return temporal.effective(e.where("event_id % 5 <> 0").select("event_id", "user_id", "ts"), e.where("event_id % 5 = 0").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("rate")), "user_id", "ts", "since", "rate").select("event_id", "user_id", "in_force")
+
+
+@query("select event_id, user_id, (select count(*) from events p where p.user_id = e.user_id and epoch(p.ts) // 1 between epoch(e.ts) // 1 - 86400 and epoch(e.ts) // 1) as in_window from events e")
+def rpm_sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user in the day up to each event."""
+    return temporal.sliding_count(table(spark, sf_dir, "events"), "user_id", "ts", 86400).select("event_id", "user_id", "in_window")
+
+
+@query("select date_trunc('day', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def event_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.tumbling(table(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""with s as (select user_id, ts, case when epoch(ts) // 1 - lag(epoch(ts) // 1) over (partition by user_id order by ts) <= 21600 then 0 else 1 end as n from events), g as (select *, sum(n) over (partition by user_id order by ts rows unbounded preceding) as session from s)
+  select user_id, cast(session as bigint) as session, min(ts) as started, max(ts) as ended, count(*) as events from g group by 1, 2""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 21600)
+
+
 @query("""with u as (select distinct user_id, event_type from events where value > 90) select a.user_id as a, b.user_id as b, count(*) as shared from u a join u b on a.event_type = b.event_type and a.user_id < b.user_id group by 1, 2 having count(*) >= 5""")
 def pairs_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users that share all of five kinds of great events: pairs by equi-join on the kind, with an order on the users."""

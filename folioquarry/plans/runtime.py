@@ -29,7 +29,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made and set.
+    Where that is unset a temporary folder is made and set, for a local master only: elsewhere the executors would not share it.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -40,6 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="folioquarry-")
     sc.setCheckpointDir(made)
     return made

@@ -111,11 +111,11 @@ def span_page_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.pages_of_spans(spans, pages).select("chunk_id", "doc_id", "page")
 
 
-@query("""with h as (select doc_id, '<html><head><title>x</title><style>p {}</style></head><body><h1>' || coalesce(title, '') || '</h1><p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), E'\\n', '</p><p>') || '</p><script>var a = 1;</script></body></html>' as html, title, text from documents where parser = 'html' and text is not null),
+@query("""with h as (select doc_id, '<html><head><title>x</title><style>p {}</style></head><body><h1>' || coalesce(title, '') || '</h1><p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), E'\\n', '</p><p>') || '</p><script>var a = 1;</script></body></html>' as html, title, text from documents where text is not null),
   l as (select doc_id, i, trim(regexp_replace(l[i], '[ \\t\\r\\f\\v]+', ' ', 'g')) as x from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(coalesce(title, '') || E'\\n' || text, E'\\n') as l from h)))
   select doc_id, string_agg(x, E'\\n' order by i) as visible from l where x <> '' group by doc_id""")
 def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visible text of pages made of each document's title and text; the SQL still takes one parser's documents."""
+    """Visible text of pages made of each document's title and text."""
     d = table(spark, sf_dir, "documents").where("text is not null")
     body = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("</p><p>"))
     html = F.concat(F.lit("<html><head><title>x</title><style>p {}</style></head><body><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1><p>"), body, F.lit("</p><script>var a = 1;</script></body></html>"))
@@ -130,9 +130,9 @@ def email_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.where("sender is not null and recipient is not null and sent is not null")
 
 
-@query("select doc_id, subject, replace(body, E'\\r', '') as body from (select doc_id, coalesce(title, 'none') as subject, regexp_replace(coalesce(text, ''), '^\\n+|\\n+$', '', 'g') as body from documents where parser = 'text')")
+@query("select doc_id, subject, replace(body, E'\\r', '') as body from (select doc_id, coalesce(title, 'none') as subject, regexp_replace(coalesce(text, ''), '^\\n+|\\n+$', '', 'g') as body from documents)")
 def eml_bytes_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RFC 822 bytes built from all documents and parsed back: subject and body come out whole; the SQL still takes one parser's documents."""
+    """RFC 822 bytes built from all documents and parsed back: subject and body come out whole."""
     d = table(spark, sf_dir, "documents")
     raw = F.concat(
         F.lit("From: a@b.example\nTo: c@d.example\nSubject: "), F.coalesce("title", F.lit("none")),

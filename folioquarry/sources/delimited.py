@@ -4,7 +4,11 @@ A batch of raw lines is laid into one byte buffer. Numpy masks of the quotes and
 every record) tell which delimiters stand outside quotes; field bounds, field counts and the quoting rules follow
 from array arithmetic, without a loop over characters.
 
-Reasons, in order: ``layout`` (no layout of that name), ``quoting``, ``column_count``, ``value``.
+Reasons, in order: ``layout`` (no layout of that name, or one that lacks what its columns need), ``quoting``,
+``column_count``, ``value``.
+
+A number is loaded exactly or not at all: cells of valid rows whose number has more than 28 digits before or 10 after
+the decimal mark keep it as ``text`` and have a null ``number``.
 
 Defined cases: a null line counts as an empty line; an empty line is one empty field; a null or unknown
 ``table_name`` gives ``layout``; repeated rows are judged each by itself; extra columns of the input are kept aside
@@ -28,7 +32,7 @@ CURRENCY = "$€£"
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 BLANKS = " \t\r\n "
 
-CELL_SCHEMA = "array<struct<name: string, type: string, text: string, number: decimal(38,6), day: date>>"
+CELL_SCHEMA = "array<struct<name: string, type: string, text: string, number: decimal(38,10), day: date>>"
 _QUOTE = 34
 _INTEGER = re.compile(r"-?[0-9]+")
 
@@ -189,9 +193,24 @@ def judge_lines(lines: list[str], types: list[str], delimiter: str, date_format:
     return reason, cells
 
 
+def exact_number(value: str | None):
+    """The number as ``number`` of a cell: exact within 28 digits before and 10 after the mark, else null."""
+    from decimal import Context, Decimal
+
+    if value is None:
+        return None
+    x = Decimal(value)
+    scaled = x.quantize(Decimal("1e-10"), context=Context(prec=len(value) + 12))
+    return scaled if scaled == x and len(scaled.as_tuple().digits) <= 38 else None
+
+
 def _spec() -> F.Column:
-    """A layout as one string, so that each row carries a single extra column to Python."""
-    return F.concat_ws("\x1f", F.col("delimiter"), F.col("date_format"), F.col("decimal_mark"), F.array_join("col_types", ","), F.array_join("header", "\x1e"))
+    """A layout as one string, so that each row carries a single extra column to Python; null where it lacks what its columns need."""
+    has = lambda kind: F.coalesce(F.array_contains("col_types", kind), F.lit(False))
+    whole = (F.length("delimiter") > 0) & (F.size("col_types") > 0) & (F.size("header") == F.size("col_types")) & ~F.exists("col_types", lambda t: F.coalesce(~t.isin("date", "amount", "integer", "text"), F.lit(True)))
+    whole = whole & (~has("date") | F.coalesce(F.length("date_format") > 0, F.lit(False))) & (~has("amount") | F.coalesce(F.col("decimal_mark").isin(".", ","), F.lit(False)))
+    parts = [F.coalesce(c, F.lit("")) for c in (F.col("delimiter"), F.col("date_format"), F.col("decimal_mark"), F.array_join("col_types", ","), F.array_join("header", "\x1e", ""))]
+    return F.when(whole, F.concat_ws("\x1f", *parts))
 
 
 def load_rows(raw_rows: DataFrame, raw_tables: DataFrame, typed: bool = True, keep: tuple[str, ...] = ("table_name", "doc_id", "page", "row_idx")) -> DataFrame:
@@ -208,8 +227,6 @@ def load_rows(raw_rows: DataFrame, raw_tables: DataFrame, typed: bool = True, ke
     schema = ", ".join([*(f"`{c}` string" for c in kept), "reason string"] + ([f"cells {CELL_SCHEMA}"] if typed else []))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from decimal import Decimal
-
         for pdf in batches:
             reason = np.full(len(pdf), "layout", dtype=object)
             cells = np.full(len(pdf), None, dtype=object)
@@ -221,7 +238,7 @@ def load_rows(raw_rows: DataFrame, raw_tables: DataFrame, typed: bool = True, ke
                 if typed:
                     for i, row, why in zip(at, values, got):
                         if why is None:
-                            cells[i] = [{"name": n, "type": k, "text": v, "number": None if x is None else round(Decimal(x), 6), "day": d} for n, (k, v, x, d) in zip(names, row)]
+                            cells[i] = [{"name": n, "type": k, "text": v, "number": exact_number(x), "day": d} for n, (k, v, x, d) in zip(names, row)]
             out = pdf[["row_key", *keep]].copy()
             out["reason"] = reason
             if typed:
