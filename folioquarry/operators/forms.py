@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# How the notes of a field say its subject, its group of alternatives and its kind.
 SUBJECT = r"^For\s+([^—]+?)\s+—\s+([^.]+)\.\s*(.*)$"
 GROUP = r'MUTUALLY EXCLUSIVE GROUP "([^"]+)"\s*\(([^)]*)\)'
 KIND = r"(?i)FIELD TYPE:\s*(checkbox|radio button|date)"

@@ -78,13 +78,8 @@ def compact(docs: DataFrame, limit: int = 100) -> tuple[int, list]:
     return docs.count(), docs.select("doc_id", "title", "parser", "n_chars").orderBy("doc_id").limit(limit).collect()
 
 
-# Names of measures, as a header over numbers has them, and what may stand before and after.
-MEASURES = ("amount", "value", "revenue", "sales", "income", "profit", "loss", "cost", "expense", "balance", "count", "quantity", "qty", "headcount", "votes", "shares", "price", "weight", "duration", "distance")
-MEASURE = rf"(?i)^(?:(?:net|gross|total|operating|adjusted|average)\s+)*(?:{'|'.join(MEASURES)})s?(?:\s*(?:\([^)]*\)|\[[^]]*\]|[%$€£¥]))?$"
-
-
-def infer_headers(grid: DataFrame, measures: str = MEASURE) -> DataFrame:
-    """(table_name, n_header) of grids (table_name, row_idx from 0, col_idx, raw, flagged): the leading run of flagged rows; without flags one row, if it holds no number and some column has a measure's name over numbers only; else none and the columns get names of their own."""
+def infer_headers(grid: DataFrame) -> DataFrame:
+    """(table_name, n_header) of grids (table_name, row_idx from 0, col_idx, raw, flagged): the leading run of flagged rows; without flags one row, if it holds no number and contrasts with what is below: some column has a word over numbers only, and no two columns have the same name; else none and the columns get names of their own."""
     from folioquarry.functions import numeric as N
 
     num = N.coerce_cell(F.col("raw")).isNotNull()
@@ -97,7 +92,8 @@ def infer_headers(grid: DataFrame, measures: str = MEASURE) -> DataFrame:
     cols = grid.groupBy("table_name", "col_idx").agg(
         F.max(F.when(F.col("row_idx") == 0, F.trim("raw"))).alias("name"), F.count_if((F.col("row_idx") > 0) & value).alias("n"), F.count_if((F.col("row_idx") > 0) & value & num).alias("k")
     )
-    contrast = cols.groupBy("table_name").agg(F.bool_or(F.coalesce(F.col("name").rlike(measures), F.lit(False)) & (F.col("n") > 0) & (F.col("k") >= F.col("n") * 0.95)).alias("contrast"))
+    worded = F.coalesce(F.col("name").rlike(r"\p{L}{2}"), F.lit(False))
+    contrast = cols.groupBy("table_name").agg((F.bool_or(worded & (F.col("n") > 0) & (F.col("k") >= F.col("n") * 0.95)) & (F.count("name") == F.count_distinct(F.lower("name")))).alias("contrast"))
     j = lead.join(contrast, "table_name")
     one = (F.col("n_rows") > 1) & (F.coalesce("first_number", F.lit(0)) == 0) & F.col("contrast")
     return j.select("table_name", F.when(F.col("flags") > 0, F.col("flags")).when(one, 1).otherwise(0).cast("int").alias("n_header"))

@@ -96,13 +96,13 @@ def certificate_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certify.replay(old, changed, "sum", "o_totalprice", "o_orderpriority").select("o_orderpriority")
 
 
-@query("""with c as (select o_custkey, sum(case when o_orderstatus = 'F' then cast(o_totalprice as decimal(18,2)) else 0 end) as f, sum(cast(o_totalprice as decimal(18,2))) as t, count(*) as n from orders group by 1) select o_custkey, round(cast(f as double) / cast(t as double) * 100, 3) as share_percent, cast(t - f as double) as open_sum, round(cast(t as double) / n, 4) as mean_total from c where t <> 0""")
+@query("""with c as (select o_custkey, sum(case when o_orderstatus = 'F' then cast(o_totalprice as decimal(18,2)) else 0 end) as f, sum(cast(o_totalprice as decimal(18,2))) as t, count(*) as n from orders group by 1) select o_custkey, round(cast(f as double) / cast(t as double) * 100, 3) as share_percent, cast(t - f as double) as open_sum, round(cast(t as double) / n + 1e-9, 4) as mean_total from c where t <> 0""")
 def calc_ratio_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("o_totalprice").cast("decimal(18,2)")
     c = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(F.when(F.col("o_orderstatus") == "F", v).otherwise(F.lit(0).cast("decimal(18,2)"))).alias("f"), F.sum(v).alias("t"), F.count(F.lit(1)).alias("n")).where("t <> 0")
     share = certify.calculate("percent", certify.calculate("divide", F.col("f"), F.col("t")))
     mean = certify.calculate("divide", F.col("t"), F.col("n"))
-    return c.select("o_custkey", F.round(share.cast("double"), 3).alias("share_percent"), certify.calculate("subtract", F.col("t"), F.col("f")).cast("double").alias("open_sum"), F.round(mean.cast("double"), 4).alias("mean_total"))
+    return c.select("o_custkey", F.round(share.cast("double"), 3).alias("share_percent"), certify.calculate("subtract", F.col("t"), F.col("f")).cast("double").alias("open_sum"), F.round(mean.cast("double") + 1e-9, 4).alias("mean_total"))
 
 
 @query("""select p_partkey, round(p_retailprice - p_size, 4) as working_capital, round((p_size + p_retailprice) / (p_size + 1), 4) as quick_ratio, round(p_size / p_retailprice * 100 + 1e-9, 3) as gross_margin, round(p_retailprice / ((p_size + (p_size + 3)) / 2.0), 4) as inventory_turnover from (select p_partkey, cast(p_size as double) as p_size, round(p_retailprice, 2) as p_retailprice from part)""")

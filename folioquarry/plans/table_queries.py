@@ -170,7 +170,11 @@ def multiset_table_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.multiset_overlap(r, r.where("row_key % 10 <> 0")).withColumn("overlap", F.round("overlap", 6))
 
 
-@query("""select table_name, header[i] as name, coalesce(regexp_matches(trim(header[i]), '(?i)^(id|no\\.?|(line|row|record|account|invoice|exhibit|reference|serial)([ _-]*(id|no\\.?|number))?|code|zip|postal code|year|date)$'), false) as non_additive from (select *, unnest(range(1, len(header) + 1)) as i from raw_tables)""")
+_NAMING, _QUOTIENTS = (str(sorted(x)) for x in (tables.NAMING, tables.QUOTIENTS))
+
+
+@query(f"""with h as (select table_name, name, regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}%]+') as w from (select table_name, unnest(header) as name from raw_tables))
+  select table_name, name, (len(w) > 0 and list_has_all({_NAMING}, w)) or list_has_any({_QUOTIENTS}, w) or list_contains(w, 'per') or (list_has_any(['balance', 'balances'], w) and list_has_any({sorted(tables.MOMENTS)}, w)) or list_has_all(w, ['unit', 'price']) or (list_contains(w, 'purchased') and list_has_any(['yet', 'still'], w)) as non_additive from h""")
 def non_additive_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "raw_tables").select("table_name", F.explode("header").alias("name"))
     return h.withColumn("non_additive", tables.non_additive(F.col("name")))
