@@ -1,12 +1,16 @@
 """A corpus of parquet tables: append, replace, delete, resume, outcomes, integrity, versions.
 
-A corpus is a folder of version folders with one parquet table each, and a ``CURRENT`` file that names the published
-version. Writers build a new version beside the old one and publish it by writing the name last, so readers see all of a
-change or none of it, and a failed write leaves nothing to clean but an unnamed folder.
+A corpus is a folder of version folders. A version has the parquet parts that it added and a list, ``_PARTS``, of the parts
+that make up each of its tables: an append writes the new rows and names the old parts again, so its cost follows what is
+new. The list is written in one piece, beside its place, and renamed there last: a version is published once it has one,
+the newest is current, readers see all of a change or none of it, and a failed write leaves nothing but a folder that no
+list names.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 
 from folioquarry.plans.runtime import cut
 
-FORMAT = 1
+FORMAT = 2
 
 
 def append_new(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -120,35 +124,58 @@ class Corpus:
         return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
 
     def current(self) -> int | None:
-        p = self._p(f"{self.path}/CURRENT")
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
+        return next((v for v in reversed(self.versions()) if self._fs.exists(self._p(f"{self.path}/v={v}/_PARTS"))), None)
+
+    def parts(self, version: int | None = None) -> dict[str, list[str]]:
+        """The folders of each table of a version."""
+        v = self.current() if version is None else version
+        if v is None or not self._fs.exists(self._p(f"{self.path}/v={v}/_PARTS")):
+            raise FileNotFoundError(f"no published version in {self.path}" if version is None else f"version {version} isn't published")
+        stream = self._fs.open(self._p(f"{self.path}/v={v}/_PARTS"))
         try:
-            return int(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+            said = json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
+        if said["format"] != FORMAT:
+            raise ValueError(f"format {said['format']} of {self.path} isn't {FORMAT}: migrate it")
+        return said["tables"]
 
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        """Write a version and name it; the tables must not be empty of columns. Raises where a write fails, leaving the published version."""
+    def _write(self, tables: dict[str, DataFrame], kept: dict[str, list[str]], before: bool) -> int:
         v = max([*self.versions(), 0]) + 1
+        names = {n: list(p) for n, p in kept.items()}
         for name, df in tables.items():
-            df.write.parquet(f"{self.path}/v={v}/{name}")
-        self.spark.createDataFrame([(FORMAT, ",".join(sorted(tables)))], "format int, tables string").coalesce(1).write.json(f"{self.path}/v={v}/manifest")
-        out = self._fs.create(self._p(f"{self.path}/CURRENT"), True)
-        out.write(bytearray(str(v).encode()))
+            df.write.mode("error").parquet(f"{self.path}/v={v}/{name}")
+            names[name] = [*(names.get(name, []) if before else []), f"v={v}/{name}"]
+        aside = self._p(f"{self.path}/v={v}/_PARTS.{uuid.uuid4().hex}")
+        out = self._fs.create(aside, False)
+        out.write(bytearray(json.dumps({"format": FORMAT, "tables": names}).encode()))
         out.close()
+        if self._fs.exists(self._p(f"{self.path}/v={v}/_PARTS")) or not self._fs.rename(aside, self._p(f"{self.path}/v={v}/_PARTS")):
+            raise RuntimeError(f"version {v} of {self.path} was published by another writer")
         return v
 
+    def publish(self, tables: dict[str, DataFrame], keep: bool = False) -> int:
+        """A version of these tables whole; with ``keep`` the others stay as they were. Raises where a write fails, leaving the published version."""
+        old = self.parts() if keep and self.current() is not None else {}
+        return self._write(tables, {n: p for n, p in old.items() if n not in tables}, before=False)
+
+    def append(self, tables: dict[str, DataFrame]) -> int:
+        """A version with new rows for these tables; only they are written."""
+        return self._write(tables, self.parts() if self.current() is not None else {}, before=True)
+
+    def compact(self) -> int:
+        """A version with one part for each table that has several."""
+        return self.publish({n: self.table(n) for n, p in self.parts().items() if len(p) > 1}, keep=True)
+
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        v = self.current() if version is None else version
-        if v is None:
-            raise FileNotFoundError(f"no published version in {self.path}")
-        return self.spark.read.parquet(f"{self.path}/v={v}/{name}")
+        parts = self.parts(version)
+        if name not in parts:
+            raise KeyError(f"{self.path} has no table {name}")
+        return self.spark.read.option("mergeSchema", str(len(parts[name]) > 1).lower()).parquet(*[f"{self.path}/{p}" for p in parts[name]])
 
-    def migrate(self, change: dict, names: Iterable[str]) -> int:
+    def migrate(self, change: dict, names: Iterable[str] = ()) -> int:
         """A new version with the changed tables rewritten by their functions and the others as they were."""
-        return self.publish({n: change[n](self.table(n)) if n in change else self.table(n) for n in names})
+        return self.publish({n: f(self.table(n)) for n, f in change.items()}, keep=True)
 
 
 def export(df: DataFrame, path: str, kind: str = "csv") -> None:

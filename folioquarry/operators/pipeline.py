@@ -10,60 +10,73 @@ from folioquarry.operators import layout, lifecycle
 from folioquarry.plans.runtime import cut
 from folioquarry.sources import textlike
 
-TABLES = ("documents", "doc_text", "chunks", "ingest_outcomes")
+TABLES = ("documents", "doc_text", "sections", "chunks", "ingest_outcomes", "table_columns", "cells", "tables")
 DIGEST = "xxhash64(path)"
 
 
 def documents_of(parsed: DataFrame) -> DataFrame:
-    """Documents of parsed files: ids from a hash of the path, names from the stem, digests of bytes and text."""
-    stem = F.regexp_extract("path", r"([^/\\]+?)(?:\.[^./\\]*)?$", 1)
+    """Documents of parsed files and of what is in them: ids from a hash of the path, names from the stem, digests of bytes and text, the id of the container."""
+    stem = F.regexp_extract("path", r"([^/\\:]+?)(?:\.[^./\\:]*)?$", 1)
+    parent = F.when(F.col("parent").isNotNull(), F.xxhash64("parent")) if "parent" in parsed.columns else F.lit(None).cast("bigint")
     return parsed.select(
         F.expr(DIGEST).alias("doc_id"), slug(stem).alias("name"), "text", F.length("text").cast("bigint").alias("n_chars"), F.col("path").alias("source_path"), "sha256", "source_identity", "parser",
-        F.sha2("text", 256).alias("content_sha256"), F.lit(1).alias("n_pages"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.lit(None).cast("bigint").alias("parent_doc_id"), F.lit(None).cast("bigint").alias("duplicate_of"),
+        F.when(F.length("text") > 0, F.sha2("text", 256)).alias("content_sha256"), F.lit(1).alias("n_pages"), F.element_at(F.split("text", "\n"), 1).alias("title"), parent.alias("parent_doc_id"), F.lit(None).cast("bigint").alias("duplicate_of"),
     )
 
 
+def sections_of(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``char_start``, ``char_end``, ``heading_path``, ``text`` of the sections of texts: Markdown at its ATX headings, others whole."""
+    line = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("t"), F.when(F.col("parser") == "markdown", F.length(F.regexp_extract(x, r"^(#{1,6})\s+\S", 1))).otherwise(0).alias("level")))
+    rows = docs.where("length(text) > 0").select("doc_id", F.length("text").alias("n"), F.posexplode(line).alias("seq", "l")).select("doc_id", "n", "seq", F.col("l.t").alias("line"), F.nullif(F.col("l.level"), F.lit(0)).alias("level"))
+    at = Window.partitionBy("doc_id").orderBy("seq")  # a document's lines
+    rows = rows.withColumn("char_start", F.coalesce(F.sum(F.length("line") + 1).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    heads = rows.where("level is not null or seq = 0").withColumn("text", F.regexp_replace("line", r"^#+\s+|\s+#*$", ""))
+    heads = layout.heading_paths(heads, "doc_id", "seq").withColumn("char_end", F.coalesce(F.lead("char_start").over(at), F.col("n")))
+    spans = heads.select("doc_id", F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"), "heading_path")
+    return spans.join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id").select("doc_id", "char_start", "char_end", "heading_path", F.expr("substring(_t, char_start + 1, char_end - char_start)").alias("text"))
+
+
 def tables_of(docs: DataFrame) -> dict[str, DataFrame]:
-    """Pages and chunks of documents, with offsets into their texts."""
-    pages = docs.where("length(text) > 0").select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), "text")
-    w = layout.window_rows(docs.where("length(text) > 0"), "doc_id")
-    chunks = w.select(F.xxhash64("doc_id", "chunk_no").alias("chunk_id"), "doc_id", F.lit(1).alias("page"), "char_start", "char_end", F.lit(None).cast("string").alias("heading_path"), "text")
-    return {"documents": docs, "doc_text": pages, "chunks": chunks}
+    """Pages, sections and chunks of documents, with offsets into their texts."""
+    some = docs.where("length(text) > 0")
+    pages = some.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), "text")
+    sections = sections_of(docs)
+    w = layout.window_rows(sections.withColumnRenamed("char_start", "_at").drop("char_end"), "doc_id", "heading_path", "_at")
+    chunks = w.select(F.xxhash64("doc_id", "_at", "chunk_no").alias("chunk_id"), "doc_id", F.lit(1).alias("page"), (F.col("_at") + F.col("char_start")).alias("char_start"), (F.col("_at") + F.col("char_end")).alias("char_end"), "heading_path", "text")
+    return {"documents": docs, "doc_text": pages, "sections": sections.drop("text"), "chunks": chunks}
 
 
 def ingest(spark: SparkSession, path: str, corpus_path: str, glob: str = "*", injected: dict | None = None) -> int:
-    """Files under ``path`` into a new version of a corpus; the version's number.
+    """Files under ``path``, with all that archives and mails among them hold, into a new version of a corpus; the version's number.
 
-    What is known by identity is not read again, and what is known by digest of bytes or text is not added again, so a
-    run that broke off is resumed by running it again. Failures are rows of ``ingest_outcomes``; a success clears them.
+    In one pass: documents with their containers, pages, sections, chunks, and of tables the columns, the cells and the
+    manifest. A version adds parts to those before it, so the cost follows the new files. What is known by identity is not
+    read again, and what is known by digest of bytes or text is not added again, so a run that broke off is resumed by
+    running it again. Every try is a row of ``ingest_outcomes`` (``lifecycle.latest_outcomes`` has the last of each file).
     If every file to read fails and there is no corpus yet, nothing is published and ValueError is raised.
     """
+    from folioquarry.operators import build
+    from folioquarry.sources import grids
+
     corpus = lifecycle.Corpus(spark, corpus_path)
     files = textlike.read_files(spark, path, glob)
-    old = {t: corpus.table(t) for t in TABLES} if corpus.current() is not None else None
-    if old is not None:
-        files = lifecycle.to_ingest(files, old["documents"])
-    unzipped = textlike.unzip(files.where("parser = 'zip'"))
-    members = unzipped.where("error is null").select(F.concat_ws("!", "path", "member").alias("path"), textlike.parser_for(F.col("member")).alias("parser"), "content")
-    every = files.where("parser is distinct from 'zip'").select("path", "parser", "content").unionByName(members)
-    stat = every.select("path", F.sha2("content", 256).alias("sha256"), F.sha2(F.concat_ws("|", "path", F.sha2("content", 256)), 256).alias("_i"))
-    known = files.select("path", "source_identity")
-    parsed = cut(textlike.parse_files(every, injected).join(stat, "path").join(known, "path", "left").withColumn("source_identity", F.coalesce("source_identity", "_i")).drop("_i"))
-    broken = unzipped.where("error is not null").select(F.concat_ws("!", "path", "member").alias("path"), "error")
+    known = corpus.table("documents") if corpus.current() is not None else None
+    if known is not None:
+        files = lifecycle.to_ingest(files, known)
+    root = F.substring_index("path", "::", 1)
+    identity = files.select(F.col("path").alias("_root"), F.col("source_identity").alias("_identity"))
+    parsed = grids.expand(files, injected).withColumn("_root", root).join(identity, "_root", "left")
+    parsed = cut(parsed.withColumn("source_identity", F.when(F.col("parent").isNull(), F.col("_identity")).otherwise(F.sha2(F.concat_ws("|", "path", "_identity"), 256))).drop("_root", "_identity"))
     good = parsed.where("error is null")
-    if old is None and not good.limit(1).count():
+    if known is None and not good.limit(1).count():
         raise ValueError(f"no file under {path} could be read")
     docs = documents_of(good)
-    empty = docs.limit(0)
-    docs = cut(lifecycle.append_new(old["documents"].select(*empty.columns) if old is not None else empty, docs).select(*empty.columns))
-    outcomes = parsed.select(F.concat(F.lit("document:"), F.expr(DIGEST).cast("string")).alias("outcome_id"), F.col("path").alias("source_path"), F.when(F.col("error").isNull(), F.expr(DIGEST)).alias("doc_id"), F.when(F.col("error").isNull(), "parsed").otherwise("parse_failed").alias("status"), "error")
-    outcomes = outcomes.unionByName(broken.select(F.concat(F.lit("document:"), F.expr(DIGEST).cast("string")).alias("outcome_id"), F.col("path").alias("source_path"), F.lit(None).cast("bigint").alias("doc_id"), F.lit("parse_failed").alias("status"), "error"))
+    docs = cut(lifecycle.append_new(docs.limit(0) if known is None else known, docs).select(*docs.columns))
+    outcomes = parsed.select(F.concat(F.lit("document:"), F.expr(DIGEST).cast("string")).alias("outcome_id"), F.col("path").alias("source_path"), F.when(F.col("error").isNull(), F.expr(DIGEST)).alias("doc_id"), F.when(F.col("parent").isNotNull(), F.xxhash64("parent")).alias("parent_doc_id"), F.when(F.col("error").isNull(), "parsed").otherwise("parse_failed").alias("status"), "error")
     outcomes = outcomes.withColumn("scanned_pages_total", F.lit(0)).withColumn("scanned_pages_untranscribed", F.lit(0))
-    new = {**tables_of(docs), "ingest_outcomes": outcomes}
-    if old is not None:
-        new = {t: old[t].unionByName(new[t], allowMissingColumns=True) for t in TABLES}
-    new["ingest_outcomes"] = lifecycle.latest_outcomes(new["ingest_outcomes"])
-    return corpus.publish(new)
+    grid = cut(build.grid_rows(good, F.expr(DIGEST)).join(docs.select("doc_id"), "doc_id", "left_semi"))
+    columns, cells = build.built(grid)
+    return corpus.append({**tables_of(docs), "ingest_outcomes": outcomes, "table_columns": columns, "cells": cells, "tables": build.manifest(grid, columns)})
 
 
 def manifest(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -79,21 +92,20 @@ def compact(docs: DataFrame, limit: int = 100) -> tuple[int, list]:
 
 
 def infer_headers(grid: DataFrame) -> DataFrame:
-    """(table_name, n_header) of grids (table_name, row_idx from 0, col_idx, raw, flagged): the leading run of flagged rows; without flags one row, if it holds no number and contrasts with what is below: some column has a word over numbers only, and no two columns have the same name; else none and the columns get names of their own."""
+    """(table_name, n_header) of grids (table_name, row_idx from 0, col_idx, raw, flagged): the leading run of flagged rows; without flags one row, if it holds no number and contrasts with what is below: some column has a word over numbers only; else none and the columns get names of their own."""
     from folioquarry.functions import numeric as N
 
     num = N.coerce_cell(F.col("raw")).isNotNull()
     rows = grid.groupBy("table_name", "row_idx").agg(F.bool_or(F.coalesce("flagged", F.lit(False))).alias("f"), F.bool_or(num).alias("has_number"))
-    w = Window.partitionBy("table_name").orderBy("row_idx")
-    lead = rows.withColumn("_run", F.min(F.col("f").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("table_name").agg(
-        F.sum("_run").alias("flags"), F.max(F.when(F.col("row_idx") == 0, F.col("has_number").cast("int"))).alias("first_number"), F.count(F.lit(1)).alias("n_rows")
+    lead = rows.groupBy("table_name").agg(
+        F.coalesce(F.min(F.when(~F.col("f"), F.col("row_idx"))), F.count(F.lit(1))).cast("bigint").alias("flags"), F.max(F.when(F.col("row_idx") == 0, F.col("has_number").cast("int"))).alias("first_number"), F.count(F.lit(1)).alias("n_rows")
     )
     value = ~N.is_null_cell(F.col("raw"))
     cols = grid.groupBy("table_name", "col_idx").agg(
         F.max(F.when(F.col("row_idx") == 0, F.trim("raw"))).alias("name"), F.count_if((F.col("row_idx") > 0) & value).alias("n"), F.count_if((F.col("row_idx") > 0) & value & num).alias("k")
     )
-    worded = F.coalesce(F.col("name").rlike(r"\p{L}{2}"), F.lit(False))
-    contrast = cols.groupBy("table_name").agg((F.bool_or(worded & (F.col("n") > 0) & (F.col("k") >= F.col("n") * 0.95)) & (F.count("name") == F.count_distinct(F.lower("name")))).alias("contrast"))
+    worded = F.coalesce(F.col("name").rlike(r"\p{L}"), F.lit(False))
+    contrast = cols.groupBy("table_name").agg(F.bool_or(worded & (F.col("n") > 0) & (F.col("k") >= F.col("n") * 0.95)).alias("contrast"))
     j = lead.join(contrast, "table_name")
     one = (F.col("n_rows") > 1) & (F.coalesce("first_number", F.lit(0)) == 0) & F.col("contrast")
     return j.select("table_name", F.when(F.col("flags") > 0, F.col("flags")).when(one, 1).otherwise(0).cast("int").alias("n_header"))

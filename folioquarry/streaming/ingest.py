@@ -10,19 +10,23 @@ from folioquarry.operators.lifecycle import append_new
 
 
 def append_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, files_per_trigger: int = 100) -> StreamingQuery:
-    """Parquet files of documents arriving in ``source``, appended to ``target`` unless known by either digest.
+    """Parquet files of documents arriving in ``source``, appended to ``target`` unless known by either digest; of those that arrive at once the least id.
 
-    Each micro-batch is an anti-join against what is there, under the batch's own folder ``batch=<id>``: a batch that is
-    run again after a failure overwrites its own folder, and its own rows don't count as known.
+    Each micro-batch is an anti-join against the digests of what is there, under the batch's own folder ``batch=<id>``: a
+    batch that is run again after a failure overwrites its own folder, and its own rows don't count as known. Digests have
+    a log of their own (``<target>_digests``), so a micro-batch reads two narrow columns of the past and none of its texts.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    jvm = spark.sparkContext._jvm
+    log = jvm.org.apache.hadoop.fs.Path(f"{target}_digests")
+    digests = "sha256 string, content_sha256 string"
 
     def write(batch: DataFrame, epoch: int) -> None:
-        try:
-            known = spark.read.parquet(target).where(F.col("batch") < epoch).select("sha256", "content_sha256")
-        except Exception:  # nothing there yet
-            known = batch.sparkSession.createDataFrame([], "sha256 string, content_sha256 string")
+        s = batch.sparkSession
+        there = log.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).exists(log)
+        known = s.read.schema(f"{digests}, batch bigint").parquet(f"{target}_digests").where(F.col("batch") < epoch).drop("batch") if there else s.createDataFrame([], digests)
         append_new(known, batch).write.mode("overwrite").parquet(f"{target}/batch={epoch}")
+        s.read.parquet(f"{target}/batch={epoch}").select("sha256", "content_sha256").write.mode("overwrite").parquet(f"{target}_digests/batch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -133,4 +133,4 @@ def test_headers_by_contrast(spark):
     grids = {"a": [["Name", "Amount"], ["x", "1"], ["y", "2"]], "b": [["x", "y"], ["u", "v"]], "c": [["x", "5"], ["y", "6"]], "d": [["Wert", "Wert"], ["1", "2"]]}
     rows = [(t, i, j, v, False) for t, g in grids.items() for i, r in enumerate(g) for j, v in enumerate(r)]
     got = pipeline.infer_headers(spark.createDataFrame(rows, "table_name string, row_idx int, col_idx int, raw string, flagged boolean"))
-    assert {r.table_name: r.n_header for r in got.collect()} == {"a": 1, "b": 0, "c": 0, "d": 0}
+    assert {r.table_name: r.n_header for r in got.collect()} == {"a": 1, "b": 0, "c": 0, "d": 1}
