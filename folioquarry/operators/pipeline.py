@@ -97,8 +97,9 @@ def infer_headers(grid: DataFrame) -> DataFrame:
 
     num = N.coerce_cell(F.col("raw")).isNotNull()
     rows = grid.groupBy("table_name", "row_idx").agg(F.bool_or(F.coalesce("flagged", F.lit(False))).alias("f"), F.bool_or(num).alias("has_number"))
-    lead = rows.groupBy("table_name").agg(
-        F.coalesce(F.min(F.when(~F.col("f"), F.col("row_idx"))), F.count(F.lit(1))).cast("bigint").alias("flags"), F.max(F.when(F.col("row_idx") == 0, F.col("has_number").cast("int"))).alias("first_number"), F.count(F.lit(1)).alias("n_rows")
+    end = rows.groupBy("table_name").agg(F.min(F.when(~F.col("f"), F.col("row_idx"))).alias("_end"))  # the first row without a flag
+    lead = rows.join(end, "table_name").groupBy("table_name").agg(
+        F.count_if(F.col("_end").isNull() | (F.col("row_idx") < F.col("_end"))).alias("flags"), F.max(F.when(F.col("row_idx") == 0, F.col("has_number").cast("int"))).alias("first_number"), F.count(F.lit(1)).alias("n_rows")
     )
     value = ~N.is_null_cell(F.col("raw"))
     cols = grid.groupBy("table_name", "col_idx").agg(

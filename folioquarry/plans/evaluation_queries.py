@@ -119,8 +119,7 @@ def absence_denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count_if(F.col("expect") == "absent").alias("absent_items"), F.count_if(F.col("expect") != "absent").alias("value_items"))
 
 
-@query()
-def absence_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def absence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """False-positive rate over absent items, abstain rate over value items; 0 for no items."""
     d = table(spark, sf_dir, "field_results").select("result_id", "expect", "agrees", "answer").distinct().where("agrees is not null and expect is not null")
     absent, neg = F.col("expect") == "absent", T.is_negative(F.col("answer"))
@@ -154,10 +153,11 @@ def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 _V = "(select user_id, event_id, value > 50 as a, event_type in ('click', 'view') as b from events where value is not null)"
 
 
-@query(f"select count(*) as n, cast(sum(cast(a and not b as int)) as bigint) as a_only, cast(sum(cast(b and not a as int)) as bigint) as b_only, round(cast(sum(cast(a as int)) - sum(cast(b as int)) as double) / count(*), 6) as diff from {_V}")
+@query(f"""with c as (select count(*) as n, cast(sum(cast(a and not b as int)) as bigint) as a_only, cast(sum(cast(b and not a as int)) as bigint) as b_only, round(cast(sum(cast(a as int)) - sum(cast(b as int)) as double) / count(*), 6) as diff from {_V}), m as (select *, a_only + b_only as m, least(a_only, b_only) as k from c)
+  select n, a_only, b_only, diff, round(least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2))))), 6) as p_value from m""")
 def mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _types(spark, sf_dir).where("value is not null").select((F.col("value") > 50).alias("a"), F.col("event_type").isin("click", "view").alias("b"))
-    return evalstats.mcnemar(d, "a", "b").select("n", "a_only", "b_only", F.round("diff", 6).alias("diff"))
+    return evalstats.mcnemar(d, "a", "b").select("n", "a_only", "b_only", F.round("diff", 6).alias("diff"), F.round("p_value", 6).alias("p_value"))
 
 
 @query()

@@ -102,10 +102,12 @@ def relation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shared_pairs(table(spark, sf_dir, "documents"), "matter_code", "author").withColumnRenamed("shared", "matters")
 
 
-def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fields(spark: SparkSession, sf_dir: str, lone: bool = False) -> DataFrame:
+    """Fields made of parts; with ``lone`` every tenth group member stands in a group of its own."""
     p = table(spark, sf_dir, "part")
     group = F.col("p_partkey") % 3 == 0
-    notes = F.concat(F.lit("For the buyer — "), F.col("p_brand"), F.lit(". "), F.col("p_name"), F.lit("\n\n"), F.when(group, F.concat(F.lit('MUTUALLY EXCLUSIVE GROUP "'), F.col("p_brand"), F.lit('" (which one?) FIELD TYPE: checkbox'))).otherwise(F.lit("FIELD TYPE: date")))
+    name = F.when(F.lit(lone) & (F.col("p_partkey") % 30 == 0), F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_brand"))
+    notes = F.concat(F.lit("For the buyer — "), F.col("p_brand"), F.lit(". "), F.col("p_name"), F.lit("\n\n"), F.when(group, F.concat(F.lit('MUTUALLY EXCLUSIVE GROUP "'), name, F.lit('" (which one?) FIELD TYPE: checkbox'))).otherwise(F.lit("FIELD TYPE: date")))
     return p.select(F.concat(F.lit("f"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("field_id"), notes.alias("notes"))
 
 
@@ -129,9 +131,9 @@ def form_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.fan_out(f, a)
 
 
-@query("""select min('f' || lpad(cast(p_partkey as varchar), 9, '0')) as field_id, 'no alternative' as fault from part where p_partkey % 3 = 0 group by p_brand having count(*) = 1""")
+@query("""select min('f' || lpad(cast(p_partkey as varchar), 9, '0')) as field_id, 'no alternative' as fault from part where p_partkey % 3 = 0 group by p_brand || case when p_partkey % 30 = 0 then '-' || p_partkey else '' end having count(*) = 1""")
 def form_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forms.faults(forms.parse_fields(_fields(spark, sf_dir)))
+    return forms.faults(forms.parse_fields(_fields(spark, sf_dir, lone=True)))
 
 
 QUERIES, ORACLE = R.queries, R.oracle

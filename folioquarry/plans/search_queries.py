@@ -23,16 +23,13 @@ def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(table(spark, sf_dir, "chunks"))
 
 
-_QUERIES = "(values (1, ['invoice', 'harbour', 'project']), (2, ['registrar', 'permit']), (3, ['kitchen', 'fitting', 'deposit']), (4, ['nosuchword'])) q(query_id, terms)"
-_ASKED = [(1, ["invoice", "harbour", "project"]), (2, ["registrar", "permit"]), (3, ["kitchen", "fitting", "deposit"]), (4, ["nosuchword"])]
-
-
-@query(f"""with q as (select query_id, unnest(terms) as term from {_QUERIES}), w as (select chunk_id, {_WORDS} as w from chunks where text is not null), c as (select count(*) as n, avg(len(w)) as al from w),
+@query(f"""with q as (select distinct item_id as query_id, unnest({_WORDS.replace('text', 'question')}) as term from eval_items), w as (select chunk_id, {_WORDS} as w from chunks where text is not null), c as (select count(*) as n, avg(len(w)) as al from w),
   p as (select term, chunk_id, length, count(*) as tf from (select chunk_id, len(w) as length, unnest(w) as term from w) where term in (select term from q) group by all), d as (select term, count(*) as df from p group by 1),
   s as (select query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al))), 6) as score from p join d using (term) join q using (term), c group by 1, 2)
   select query_id, chunk_id, score, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s) where rank <= 10""")
 def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.createDataFrame(_ASKED, "query_id int, terms array<string>")
+    """The ten best chunks for every question of the test items."""
+    q = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query_id"), T.words(F.col("question")).alias("terms"))
     return search.bm25(table(spark, sf_dir, "chunks"), q, k=10)
 
 
@@ -95,7 +92,13 @@ def vector_knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn(v, q, 10)
 
 
-@query()
+_UNIT = "list_transform(embedding, lambda x: cast(x as double) / nullif(sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))), 0))"
+_POOL = f"""u as (select vec_id, {_UNIT} as e from embeddings), q8 as (select vec_id, e, list_transform(e, lambda x: cast(greatest(least(round_even(x * 127, 0), 127), -127) as double)) as c from u),
+  s as (select q.vec_id as query_id, v.vec_id, list_dot_product(q.c, v.c) as coarse, round(list_dot_product(q.e, v.e), 6) as score from q8 q, q8 v where q.vec_id % 100 = 0),
+  pooled as (select *, row_number() over (partition by query_id order by coarse desc, vec_id) as r from s), near as (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from pooled where r <= 100)"""
+
+
+@query(f"with {_POOL} select query_id, vec_id, score, cast(rank as integer) as rank from near where rank <= 10")
 def vector_knn_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through a pool of 100 by quantised vectors."""
     v = table(spark, sf_dir, "embeddings")
@@ -103,13 +106,12 @@ def vector_knn_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn(v, q, 10, pool=100)
 
 
-@query("select vec_id as query_id, 1.0 as recall from embeddings where vec_id % 100 = 0")
+@query(f"with {_POOL}, x as (select query_id, vec_id, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) select x.query_id, round(count(near.vec_id) / count(*), 4) as recall from x left join near on near.query_id = x.query_id and near.vec_id = x.vec_id and near.rank <= 10 where x.rank <= 10 group by 1")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the exact ten that the quantised pool keeps."""
     a = vector_knn_exact(spark, sf_dir).select("query_id", "vec_id")
-    b = vector_knn_int8(spark, sf_dir).select("query_id", F.col("vec_id").alias("v2"))
-    j = a.join(b.withColumnRenamed("v2", "vec_id").withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
-    return j.groupBy("query_id").agg(F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"))
+    b = vector_knn_int8(spark, sf_dir).select("query_id", "vec_id").withColumn("hit", F.lit(1))
+    return a.join(b, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"))
 
 
 @query("select vec_id, array_to_string(list_transform(embedding, lambda x: cast(greatest(least(round_even(cast(x as double) / nullif(sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))), 0) * 127, 0), 127), -127) as tinyint)), ' ') as q from embeddings")

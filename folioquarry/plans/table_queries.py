@@ -115,7 +115,8 @@ def checksum_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.flat_totals(_with_totals(spark, sf_dir), "table_name").drop("total")
 
 
-@query()
+@query("""with o as (select o_custkey, o_orderstatus as s, cast(o_totalprice as decimal(18,2)) as v from orders where o_custkey is not null), g as (select o_custkey, s, count(*) as n, cast(sum(v) as double) as t from o group by 1, 2),
+  r as (select *, sum(n + 2) over (partition by o_custkey order by s) as row_idx from g) select o_custkey as table_name, cast(row_idx as bigint) as row_idx, 'subtotal' as kind, round(case when o_custkey % 7 = 0 then t * 1.5 else t end + 1e-4, 2) as found, round(t, 2) as expected, o_custkey % 7 <> 0 or abs(t * 0.5) <= greatest(0.005 * t, 1.0) as passed from r where n >= 2""")
 def nested_section_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer as sections with subtotals and a grand total: all pass but those spoilt."""
     o = table(spark, sf_dir, "orders").where("o_custkey is not null")
@@ -128,7 +129,7 @@ def nested_section_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = items.unionByName(heads).unionByName(subs)
     rows = rows.withColumn("row_idx", F.row_number().over(Window.partitionBy("o_custkey").orderBy("s", "step", "k")).cast("bigint"))
-    return validate.nested_totals(rows.withColumnRenamed("o_custkey", "table_name")).withColumn("expected", F.round("expected", 2)).withColumn("found", F.round("found", 2))
+    return validate.nested_totals(rows.withColumnRenamed("o_custkey", "table_name")).withColumn("expected", F.round("expected", 2)).withColumn("found", F.round(F.col("found") + 1e-4, 2))
 
 
 @query("""with r as (select row_key, table_name, delimiter as d, len(header) as n, string_split(coalesce(raw_line, ''), '"') as q from raw_rows join raw_tables using (table_name)),
