@@ -24,3 +24,35 @@ def test_second_limits_stand_out(spark):
     sets = {r.source_key: r.limits for r in truncation.limit_sets(limits).collect()}
     assert sets[""] == sorted({k for _, k in found}, reverse=True) and sets["a"] == [2000, 1000]
     assert truncation.limit_of("word", 1000, 0, sets["a"]) == 1000 and truncation.limit_of("word", 1999, 0, sets[""]) == 2000 and truncation.limit_of("word", 9, 0, []) == 0
+
+
+def test_boundaries_by_rank():
+    from folioquarry.llm import chunking
+
+    chinese = "这是一个很长的句子没有空格也没有换行。" * 200
+    spans = chunking.cuts(chinese)
+    assert all(e - s <= 1500 for s, e in spans) and all(chinese[e - 1] == "。" for _, e in spans) and len(spans) > 2
+    quoted = "他说：“好的。”" * 400
+    assert all(quoted[e - 1] in "”" for _, e in chunking.cuts(quoted))
+    para = "".join(f"Sentence {i} stands in this paragraph. And so does another one here.\n" + ("\n" if i % 4 == 3 else "") for i in range(120))
+    ends = [para[e - 2 : e] for _, e in chunking.cuts(para)[:-1]]
+    assert sum(x == "\n\n" for x in ends) >= 0.7 * len(ends)
+    assert chunking.cuts("\r\n" * 1000)[-1][1] == 2000 and chunking.cuts("\n" * 1501)[0][1] <= 1500
+
+
+def test_no_slot_of_a_mix_is_hot(spark):
+    """Whatever the weights, documents spread over the slots: here most are duplicates of low weight."""
+    from pyspark.sql import functions as F
+
+    d = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, 0.05).otherwise(0.25).alias("w"))
+    u = (F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+    slots = d.groupBy(F.floor(F.log2(-F.log(u) / F.col("w")) * 1024).alias("s")).count()
+    assert slots.agg(F.max("count")).first()[0] < 200_000 * 0.0025  # 0.025 % are expected, 50 documents
+
+
+def test_large_buckets_are_compared_in_blocks(spark):
+    from folioquarry.llm import neardup
+
+    texts = [(i, " ".join(f"w{k}" for k in range(60)) + f" x{i} y{i}") for i in range(50)]
+    j = neardup.PathJoin(spark.createDataFrame(texts, "doc_id bigint, text string"), k=3, threshold=(7, 10), bucket=4, max_depth=2)
+    assert j.found().count() == 50 * 49 // 2
