@@ -440,9 +440,8 @@ def email_pages(documents: DataFrame, doc_text: DataFrame) -> DataFrame:
     """``doc_id``, ``parent``, ``text`` of every email's page, once each."""
     parent = F.col("parent_doc_id") if "parent_doc_id" in documents.columns else F.lit(None).cast(dict(documents.dtypes)["doc_id"])
     ids = documents.where("parser = 'eml' and doc_id is not null").groupBy("doc_id").agg(F.min(parent).alias("parent"))
-    pages = doc_text.where("text is not null").select("doc_id", "page", "text")
-    pages = pages.join(small(ids.select("doc_id")), "doc_id", "left_semi")
-    return pages.groupBy("doc_id").agg(F.min(F.struct("page", "text")).alias("p")).join(small(ids), "doc_id").select("doc_id", "parent", "p.text")
+    pages = doc_text.where("text is not null").select("doc_id", "page", "text").join(small(ids), "doc_id")
+    return pages.groupBy("doc_id").agg(F.min("parent").alias("parent"), F.min(F.struct("page", "text")).alias("p")).select("doc_id", "parent", "p.text")
 
 
 def parsed(emails: DataFrame) -> DataFrame:
@@ -532,10 +531,12 @@ def boilerplate(units: DataFrame) -> DataFrame:
     wide = owners.join(talks_of, "w").select("w")
     some = often.unionByName(wide).distinct()
     stands = u.join(some, "w", "left_semi").groupBy("w").agg(F.avg(F.col("edge").cast("double")).alias("share"), F.min("unit").alias("text"))
-    known = cut(stands.where("share >= 0.5").select(F.col("w").alias("x"), "text"))
-    rest = edge.select(F.col("w").alias("y"), F.col("unit").alias("text")).distinct().join(known.select(F.col("x").alias("y")), "y", "left_anti")
-    long = F.length("text") >= 20
-    near = near_texts(cut(with_fingerprints(rest.where(long), "text")).withColumnRenamed("y", "x"), cut(with_fingerprints(known.where(long), "text")).withColumnRenamed("x", "y"), None)
+    known = stands.where("share >= 0.5").select("w", "text", F.lit(True).alias("known"))
+    rest = edge.groupBy("w").agg(F.first("unit").alias("text")).join(known.select("w"), "w", "left_anti").withColumn("known", F.lit(False))
+    prints = cut(with_fingerprints(known.unionByName(rest), "text"))
+    long = prints.where(F.length("text") >= 20)
+    near = near_texts(long.where("not known").withColumnRenamed("w", "x"), long.where("known").withColumnRenamed("w", "y"), None)
+    known = prints.where("known").select(F.col("w").alias("x"))
     exact = u.join(known.select(F.col("x").alias("w")), "w", "left_semi").select("doc_id", "no")
     return exact.unionByName(edge.join(near.select(F.col("x").alias("w")).distinct(), "w", "left_semi").select("doc_id", "no")).distinct()
 
