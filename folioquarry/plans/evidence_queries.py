@@ -120,4 +120,35 @@ def financial_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", *[F.round(c.cast("double"), 3 if n == "gross_margin" else 4).alias(n) for n, c in out.items()])
 
 
+_DAG = """g as (select o_custkey as k, count(*) as n, sum(cast(o_totalprice as decimal(18,2))) as t, sum(case when o_orderstatus = 'F' then cast(o_totalprice as decimal(18,2)) else 0 end) as f from orders where o_custkey is not null group by 1),
+  e as (select 'open:' || k as id, cast(t - f as double) as value, 1 as depth, cast(null as varchar) as refusal from g union all select 'share:' || k, case when t <> f then cast(f as double) / cast(t - f as double) end, 2, case when t = f then 'no value' end from g
+    union all select 'percent:' || k, case when t <> f then cast(f as double) / cast(t - f as double) * 100 end, 3, case when t = f then 'refused' end from g union all select 'odd:' || k, null, 1, 'operand' from g)"""
+
+
+def _dag(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sums of every customer as facts, and four steps on them: what is open, closed by open, in percent, and one that asks for what isn't there."""
+    v = F.col("o_totalprice").cast("decimal(18,2)")
+    g = table(spark, sf_dir, "orders").where("o_custkey is not null").groupBy(F.col("o_custkey").cast("string").alias("k")).agg(F.sum(v).alias("t"), F.sum(F.when(F.col("o_orderstatus") == "F", v).otherwise(F.lit(0).cast("decimal(18,2)"))).alias("f"))
+    name = lambda p: F.concat(F.lit(p), F.col("k"))
+    facts = g.select(F.explode(F.array(F.struct(name("total:").alias("id"), F.col("t").cast("string").alias("value")), F.struct(name("closed:").alias("id"), F.col("f").cast("string").alias("value")))).alias("x")).select("x.*")
+    step = lambda p, op, *on: F.struct(name(p).alias("id"), F.lit(op).alias("op"), F.array(*[name(o) for o in on]).alias("operands"))
+    steps = g.select(F.explode(F.array(step("open:", "subtract", "total:", "closed:"), step("share:", "divide", "closed:", "open:"), step("percent:", "percent", "share:"), step("odd:", "sum", "total:", "none:"))).alias("x")).select("x.*")
+    return facts, steps
+
+
+@query(f"with {_DAG} select id, round(value, 6) as value, depth, refusal from e")
+def evidence_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = certify.evaluated(*_dag(spark, sf_dir)).where("id not like 'total:%' and id not like 'closed:%'")
+    return out.select("id", F.round(F.col("value").cast("double"), 6).alias("value"), "depth", "refusal")
+
+
+@query("""select id from (select 'closed:' || k as id, k, f, t from (select o_custkey as k, sum(cast(o_totalprice as decimal(18,2))) as t, sum(case when o_orderstatus = 'F' then cast(o_totalprice as decimal(18,2)) else 0 end) as f from orders where o_custkey is not null group by 1)) where k % 100 = 7
+  union all select p || k from (select distinct o_custkey as k from orders where o_custkey % 100 = 7), (values ('open:'), ('share:'), ('percent:')) v(p)""")
+def evidence_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What no longer holds once the closed sums of some customers have grown by one."""
+    facts, steps = _dag(spark, sf_dir)
+    grown = F.col("id").startswith("closed:") & (F.substring_index("id", ":", -1).cast("int") % 100 == 7)
+    return certify.stale(certify.evaluated(facts, steps), facts.withColumn("value", F.when(grown, (F.col("value").cast("decimal(18,2)") + 1).cast("string")).otherwise(F.col("value"))), steps)
+
+
 QUERIES, ORACLE = R.queries, R.oracle
