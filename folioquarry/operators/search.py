@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquarry.functions import text as T
+from folioquarry.functions.stem import stems
 from folioquarry.plans.runtime import cut, spread
 
 K1, B = 1.2, 0.75
@@ -128,16 +129,27 @@ def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     return w.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", k: int = 10, few_terms: int = 200) -> DataFrame:
-    """Okapi BM25 of many queries (query_id, terms) at once over unstemmed words: (query_id, key, score), the best ``k`` of each.
+def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", k: int = 10, few_terms: int = 200, stemmed: bool = False, every: bool = False) -> DataFrame:
+    """Okapi BM25 of many queries (query_id, terms) at once over words, or with ``stemmed`` over their stems; with ``every`` only of chunks that have all of a query's terms: (query_id, key, score), the best ``k`` of each.
 
     Only the postings of asked terms are made: the chunk's words are filtered by the distinct query terms before they
     are counted, so what is shuffled grows with the hits. Corpus statistics are over all chunks.
     """
     _check_k(k)
-    q = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t)))).alias("term"))
+    s = _scores(chunks, queries, key, few_terms, stemmed, every)
+    rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key)))
+    return s.withColumn("rank", rn).where(F.col("rank") <= k)
+
+
+def _terms(text: Column, stemmed: bool) -> Column:
+    return stems(T.words(text)) if stemmed else T.words(text)
+
+
+def _scores(chunks: DataFrame, queries: DataFrame, key: str, few_terms: int, stemmed: bool, every: bool) -> DataFrame:
+    lower = F.transform("terms", lambda t: F.lower(t))
+    q = queries.select("query_id", F.explode(F.array_distinct(stems(lower) if stemmed else lower)).alias("term"))
     asked = q.select("term").distinct()
-    w = spread(chunks.select(key, "text"), key).select(key, T.words(F.col("text")).alias("w")).where("w is not null")
+    w = spread(chunks.select(key, "text"), key).select(key, _terms(F.col("text"), stemmed).alias("w")).where("w is not null")
     few = [r.term for r in asked.limit(few_terms + 1).collect()]
     if len(few) <= few_terms:  # a few terms are filtered within each word list, and the texts are taken apart once
         base = cut(w.select(key, F.size("w").alias("length"), F.filter("w", lambda x: x.isin(*few)).alias("hits")))
@@ -151,7 +163,24 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", k: int =
     scored = p.join(df, "term").join(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    s = scored.withColumn("weight", weight).join(q, "term").groupBy("query_id", key).agg(F.round(F.sum("weight"), 6).alias("score"))
+    s = scored.withColumn("weight", weight).join(q, "term").groupBy("query_id", key).agg(F.round(F.sum("weight"), 6).alias("score"), F.count(F.lit(1)).alias("_n"))
+    if every:
+        s = s.join(q.groupBy("query_id").agg(F.count(F.lit(1)).alias("_all")), "query_id").where("_n = _all")
+    return s.select("query_id", key, "score")
+
+
+def match(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", k: int = 10) -> DataFrame:
+    """Full-text search of query texts (query_id, query) over stems: (query_id, key, score, rank), the best ``k`` of each.
+
+    A chunk has all words of the query; where the query holds a double quote, balanced or not, its words stand in it as one
+    phrase. Queries without words, null ones too, find nothing.
+    """
+    _check_k(k)
+    q = queries.select("query_id", T.words(F.col("query")).alias("terms"), F.contains(F.col("query"), F.lit('"')).alias("phrase")).where("size(terms) > 0")
+    s = _scores(chunks, q, key, 200, True, True).join(q.select("query_id", "phrase", F.array_join(stems(F.col("terms")), " ").alias("said")), "query_id")
+    words = chunks.select(key, F.array_join(_terms(F.col("text"), True), " ").alias("all"))
+    held = s.where("phrase").join(words, key).where(F.contains(F.concat(F.lit(" "), F.col("all"), F.lit(" ")), F.concat(F.lit(" "), F.col("said"), F.lit(" "))))
+    s = s.where("not phrase").select("query_id", key, "score").unionByName(held.select("query_id", key, "score"))
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key)))
     return s.withColumn("rank", rn).where(F.col("rank") <= k)
 

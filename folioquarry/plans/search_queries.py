@@ -33,6 +33,14 @@ def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(table(spark, sf_dir, "chunks"), q, k=10)
 
 
+@query()
+def fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title of every hundredth document as a query over stems, every second one as a phrase: a stated query set against all chunks."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 100 = 0")
+    quote = F.when(F.col("doc_id") % 200 == 0, F.lit('"')).otherwise(F.lit(""))
+    return search.match(table(spark, sf_dir, "chunks"), d.select(F.col("doc_id").alias("query_id"), F.concat(quote, "title").alias("query")))
+
+
 @query("""with p as (select phrase_id, phrase from (values (1, 'harbour project'), (2, 'rental pool'), (3, 'kitchen fitting'), (4, 'no such phrase')) v(phrase_id, phrase)), w as (select chunk_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), ' ') || ' ' as t from chunks where text is not null)
   select phrase_id, chunk_id from w join p on contains(t, ' ' || phrase || ' ')""")
 def fts_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,7 @@ from __future__ import annotations
 
 import email
 import email.policy
-import io
 import re
-import zipfile
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -184,25 +181,6 @@ def mail_headers(text: Column) -> dict[str, Column]:
     return {"subject": F.substring_index(text, "\n", 1), "sender": one("From"), "recipient": one("To"), "cc": one("Cc"), "sent": one("Date")}
 
 
-def unzip(files: DataFrame, max_members: int = 200, max_bytes: int = 50 << 20) -> DataFrame:
-    """``path``, ``member``, ``content`` of archive members; dot files and members over the limits come out with an ``error`` instead of content."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    z = zipfile.ZipFile(io.BytesIO(content))
-                    members = [i for i in z.infolist() if not i.is_dir() and not i.filename.rsplit("/", 1)[-1].startswith(".") and not i.filename.startswith("__MACOSX")]
-                except (zipfile.BadZipFile, TypeError) as e:
-                    yield pd.DataFrame({"path": [path], "member": [None], "content": [None], "error": [f"not an archive: {e}"]})
-                    continue
-                for k, i in enumerate(members):
-                    error = "too many members" if k >= max_members else "member too large" if i.file_size > max_bytes else None
-                    yield pd.DataFrame({"path": [path], "member": [i.filename], "content": [None if error else z.read(i)], "error": [error]})
-
-    return files.select("path", "content").mapInPandas(run, "path string, member string, content binary, error string")
-
-
 def image_rows(files: DataFrame) -> DataFrame:
     """Images have no text: one row each, to be transcribed."""
     return files.where(parser_for(F.col("path")) == "image").select("path", F.lit("").alias("text"), F.lit(True).alias("needs_transcription"))
@@ -222,34 +200,3 @@ def read_files(spark, path: str, glob: str = "*") -> DataFrame:
 
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return f.select("path", "length", "modificationTime", "content", F.sha2("content", 256).alias("sha256"), stat_identity(F.col("path"), F.col("length"), F.col("modificationTime")).alias("source_identity"), parser_for(F.col("path")).alias("parser"))
-
-
-def parse_files(files: DataFrame, injected: dict | None = None) -> DataFrame:
-    """``path``, ``parser``, ``text``, ``error`` of each file. ``injected`` maps the optional parsers (pdf, office, image, msg) to functions from bytes to text; without one such files come out with an error."""
-    injected = injected or {}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, parser, content in zip(pdf["path"], pdf["parser"], pdf["content"]):
-                text = error = None
-                try:
-                    if parser in injected:
-                        text = injected[parser](content)
-                    elif parser in ("text", "csv", "json", "markdown"):
-                        text = content.decode("utf-8-sig", "replace").replace("\r\n", "\n")
-                    elif parser == "html":
-                        text = visible(content.decode("utf-8-sig", "replace"))
-                    elif parser == "eml":
-                        m = read_mail(content)
-                        text = "\n".join([m["subject"] or "", *(f"{k}: {m[v]}" for k, v in (("From", "sender"), ("To", "recipient"), ("Cc", "cc"), ("Date", "sent")) if m[v]), m["body"], *(f"[attachment: {a}]" for a in m["attachments"])])
-                    elif parser is None:
-                        error = "no parser for this suffix"
-                    else:
-                        error = f"parser {parser} must be injected"
-                except Exception as e:  # one bad file must not end the job
-                    error = f"{type(e).__name__}: {e}"
-                rows.append((path, parser, text, error))
-            yield pd.DataFrame(rows, columns=["path", "parser", "text", "error"])
-
-    return files.select("path", "parser", "content").mapInPandas(run, "path string, parser string, text string, error string")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioquarry.operators import certify, dedup, evalstats, evidence, forms, graph, labels, layout, lifecycle, search, sqlgate, tables, temporal, validate
-from folioquarry.sources import textlike
+from folioquarry.sources import grids, textlike
 
 
 def rows(df, *cols):
@@ -36,18 +36,18 @@ def test_markdown_and_html(spark):
     assert textlike.visible("<head><title>t</title></head><p>a &amp; b<br>c</p><script>x</script><div> d  e</div>") == "a & b\nc\nd e"
 
 
-def test_unzip_and_parse_files(spark, tmp_path):
+def test_archives_and_files(spark, tmp_path):
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
         z.writestr("a.txt", "hello")
         z.writestr(".hidden", "no")
     f = spark.createDataFrame([("x.zip", bytearray(buf.getvalue())), ("bad.zip", bytearray(b"no"))], "path string, content binary")
-    got = {(r.path, r.member): (None if r.content is None else bytes(r.content), r.error) for r in textlike.unzip(f).collect()}
-    assert got[("x.zip", "a.txt")] == (b"hello", None) and got[("bad.zip", None)][1].startswith("not an archive") and len(got) == 2
+    got = {r.path: (r.text, r.error) for r in grids.expand(f).collect()}
+    assert got["x.zip::a.txt"] == ("hello", None) and got["bad.zip"][1].startswith("BadZipFile") and len(got) == 3
     (tmp_path / "m.eml").write_bytes(b"Subject: S\nFrom: a@b.c\nTo: d@e.f\nDate: Mon, 1 Jan 2024 00:00:00 +0000\n\nbody\n")
     (tmp_path / "p.pdf").write_bytes(b"%PDF")
     (tmp_path / "t.txt").write_bytes("é\r\nb".encode())
-    p = {r.path.rsplit("/", 1)[1]: r for r in textlike.parse_files(textlike.read_files(spark, str(tmp_path))).collect()}
+    p = {r.path.rsplit("/", 1)[1]: r for r in grids.expand(textlike.read_files(spark, str(tmp_path))).collect()}
     assert p["t.txt"].text == "é\nb" and p["p.pdf"].error == "parser pdf must be injected" and p["m.eml"].text.startswith("S\nFrom: a@b.c")
 
 
