@@ -196,3 +196,24 @@ def contract_results(contracts: DataFrame, sources: DataFrame, cells: DataFrame)
     j = j.withColumn("result", calculate_exact("divide", F.col("_top"), F.col("_below")))
     j = j.withColumn("refusal", F.coalesce("refusal", F.when(F.col("result").isNull(), "no value")))
     return j.select("contract_id", F.when(F.col("refusal").isNull(), F.col("result")).alias("result"), "refusal")
+
+
+def meter(log: DataFrame, *labels: str) -> DataFrame:
+    """Of a log of observations (name, value, and labels): how many, their 50th and 95th percentile by nearest rank, the greatest and the sum, of each name and labels. All are kept: none is dropped beyond some number."""
+    from folioquarry.operators.evalstats import at_ranks
+
+    keys = ("name", *labels)
+    rank = lambda q: F.greatest(F.ceil(F.col("n") * q), F.lit(1))
+    p = at_ranks(log, "value", {"p50": rank(0.5), "p95": rank(0.95)}, *keys)
+    s = log.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("value").alias("most"), F.sum("value").alias("total"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    for c in on[1:]:
+        on[0] = on[0] & c
+    return p.join(s, on[0]).select(*keys, F.col("n").alias("observations"), "p50", "p95", "most", "total")
+
+
+def audit_rows(results: DataFrame) -> DataFrame:
+    """What a reviewer gets of each result (the columns of ``miss_cause`` and ``qid``): prediction, gold, cause, what was seen, and an empty mark; misses first."""
+    seen = lambda c: F.array_join(F.array_sort(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>")))), ", ")
+    cause = miss_cause(results)
+    return results.select("qid", "predicted", "gold", cause.alias("cause"), seen("seen_docs").alias("seen_docs"), F.lit(None).cast("string").alias("mark"), (cause == "ok").alias("_ok")).orderBy("_ok", "qid").drop("_ok")

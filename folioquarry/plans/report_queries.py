@@ -167,6 +167,20 @@ def absence_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(absence(spark, sf_dir))
 
 
+@query("""with e as (select event_type as name, user_id % 3 as shard, value, row_number() over (partition by event_type, user_id % 3 order by value) as r, count(*) over (partition by event_type, user_id % 3) as n from events where value is not null)
+  select name, shard, count(*) as observations, max(value) filter (r = greatest(ceil(n * 0.5), 1)) as p50, max(value) filter (r = greatest(ceil(n * 0.95), 1)) as p95, max(value) as most, round(sum(value), 4) as total from e group by 1, 2""")
+def meter_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of events as observations by kind and shard."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), (F.col("user_id") % 3).alias("shard"), "value")
+    return reports.meter(e, "shard").withColumn("total", F.round("total", 4))
+
+
+@query(f"with {_STATE} select result_id as qid, case when same then 'Answer: ' || golden end as predicted, golden as gold, cause, 'doc' || (result_id % 3) as seen_docs from c")
+def audit_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that a reviewer gets of every result."""
+    return reports.audit_rows(_states(spark, sf_dir).withColumnRenamed("result_id", "qid")).drop("mark")
+
+
 def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two relational tables as grids of text with a header row: what a parser of files delivers."""
     out = None

@@ -1,6 +1,9 @@
 """Evidence steps and reports on small cases."""
 
+import pytest
+
 from folioquarry.operators import certify, reports
+from folioquarry.sources import grids, workbook
 
 
 def test_steps_and_refusals(spark):
@@ -41,3 +44,24 @@ def test_contracts(spark):
     contracts = [("ok", "direct_ratio", "USD", "2024"), ("zero", "direct_ratio", "USD", "2024"), ("lab", "direct_ratio", "USD", "2024"), ("gone", "direct_ratio", "USD", "2024"), ("half", "direct_ratio", "USD", "2024"), ("unit", "direct_ratio", "EUR", "2024"), ("none", None, "USD", "2024"), ("bad", "guess", "USD", "2024"), ("cov", "coverage", "USD", "2024")]
     got = {r.contract_id: (r.result, r.refusal) for r in reports.contract_results(spark.createDataFrame(contracts, "contract_id string, formula string, unit string, period string"), spark.createDataFrame(sources, "contract_id string, role string, table_name string, row_idx int, col_name string, label_col string, label string"), cells).collect()}
     assert got == {"ok": ("2.5", None), "zero": (None, "no value"), "lab": (None, "label"), "gone": (None, "source"), "half": (None, "roles"), "unit": (None, "unit or period"), "none": (None, "formula"), "bad": (None, "formula"), "cov": ("0.5", None)}
+
+
+def test_workbooks_are_read_back(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x < y & \x01", 2.5, True), (None, None, float("nan"), None), (10**17, " lead", 1e300, False)], "n bigint, t string, d double, b boolean")
+    b = a.select(*[a.n.alias(f"c{i}") for i in range(30)]).limit(1)
+    path = str(tmp_path / "r.xlsx")
+    workbook.write_workbook({"One & two": a, "B": b}, path)
+    _, got = grids.workbook(open(path, "rb").read())
+    assert got[0] == ("One & two", [["n", "t", "d", "b"], ["1", "x < y & \ufffd", "2.5", "1"], [str(10**17), " lead", "1e+300", "0"]])
+    assert got[1][1][0][-1] == "c29" and len(got[1][1][1]) == 30
+    for sheets, rows in (({"A": a}, 2), ({"a/b": a}, 9), ({}, 9), ({"x": spark.createDataFrame([("y" * 40_000,)], "t string")}, 9)):
+        with pytest.raises(ValueError):
+            workbook.workbook(sheets, rows)
+    with pytest.raises(Exception):
+        workbook.write_workbook({"A": a}, path)
+
+
+def test_meter(spark):
+    d = spark.createDataFrame([("a", None, float(i)) for i in range(1, 11)] + [("a", "x", 5.0), ("b", "x", None), (None, None, 1.0)], "name string, tag string, value double")
+    got = {(r.name, r.tag): tuple(r)[2:] for r in reports.meter(d, "tag").collect()}
+    assert got == {("a", None): (10, 5.0, 10.0, 10.0, 55.0), ("a", "x"): (1, 5.0, 5.0, 5.0, 5.0), (None, None): (1, 1.0, 1.0, 1.0, 1.0)}
