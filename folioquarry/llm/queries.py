@@ -164,6 +164,14 @@ def p2_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.unionByName(j.members().select(F.lit("member").alias("kind"), F.col("rep").alias("representative"), F.col("id").alias("doc_id"), F.lit(None).cast("int").alias("shared"), F.lit(None).cast("int").alias("total")))
 
 
+@query()
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs made at the setting of p2_found, the verified pairs of representatives and the recall estimated from how many runs found each."""
+    j = _near(spark, sf_dir, k=3, threshold=(7, 10))
+    n = j.pairs().count()
+    return spark.createDataFrame([(j.runs * j.turns, n, round(j.estimate, 6))], "runs int, links bigint, estimated_recall double")
+
+
 def _new_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emails.new_lines(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_text"))
 

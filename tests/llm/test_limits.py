@@ -56,3 +56,22 @@ def test_large_buckets_are_compared_in_blocks(spark):
     texts = [(i, " ".join(f"w{k}" for k in range(60)) + f" x{i} y{i}") for i in range(50)]
     j = neardup.PathJoin(spark.createDataFrame(texts, "doc_id bigint, text string"), k=3, threshold=(7, 10), bucket=4, max_depth=2)
     assert j.found().count() == 50 * 49 // 2
+
+
+def test_runs_are_repeated_until_the_target_recall(spark):
+    """Single runs of thin paths miss much: the estimate tells, and runs are added until it is the target's."""
+    import random
+
+    from folioquarry.llm import neardup
+
+    rng = random.Random(21)
+    texts = []
+    for g in range(120):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        for _ in range(2):
+            texts.append((len(texts), " ".join(w if rng.random() > 0.03 else f"e{rng.randrange(10**6)}" for w in base)))
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(3)])) for _, t in texts]
+    want = {(a, a + 1) for a in range(0, 240, 2) if 10 * len(sets[a] & sets[a + 1]) >= 7 * len(sets[a] | sets[a + 1])}
+    j = neardup.PathJoin(spark.createDataFrame(texts, "doc_id bigint, text string"), k=3, threshold=(7, 10), branch=1.0, runs=1, recall=0.98)
+    got = {(r.a, r.b) for r in j.found().collect()}
+    assert j.turns > 1 and j.estimate >= 0.98 and not got - want and len(got) >= 0.95 * len(want) and len(want) > 60
