@@ -1,11 +1,14 @@
 """Records that break off (p8).
 
-Labels are made, not given: values of a bounded, documented sample (``sample`` documents, chosen by a hash of their id)
-are cut artificially, by a length limit and anywhere, bare or with white space or a mark after the cut; the values as
-they stand are the negatives, but for those that end at their source's limit, which are left out. A logistic regression
-over hashed features of the closing characters, punctuation, last line and length-to-limit is trained on both. Values
-that a model trained on the other folds takes for cut are taken from the negatives, and it is trained again. Every
-record is scored. The prior of the cut class is fitted to the scores out of fold, apart for values that end at a limit.
+Labels are made, not given: all values are cut artificially, by a length limit and anywhere, bare or with white space or
+a mark after the cut; the values as they stand are the negatives, but for those that end at their source's limit, which
+are left out. A logistic regression over hashed features of the closing characters, punctuation, last line and
+length-to-limit is trained on both. Values that a model trained on the other folds takes for cut are taken from the
+negatives, and it is trained again. Every record trains and is scored. The prior of the cut class is fitted to the scores
+out of fold, apart for values that end at a limit.
+
+Each step of the training adds up its gradients over all rows: up to ``driver_rows`` rows on the driver, beyond in Spark,
+where only sums of a fixed size come back, at most ``TASKS`` a step.
 
 Limits are found over all documents: the length that most of a source's distinct texts share, if at least ``spike`` do,
 and every other length that stands out against its neighbours, once trailing white space and marks are gone (copies of
@@ -18,8 +21,9 @@ scored alike; only the last ``TAIL`` characters and the length are looked at, si
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 from folioquarry.plans.runtime import cut, small
 
 TAIL, BITS, FOLDS = 240, 15, 3
+#: Sums that come to the driver in a step at most, rows a gradient takes at once, bins of logits (``1 / FINE`` wide, up to ``WIDE`` either way).
+TASKS, SLAB, FINE, WIDE = 64, 4096, 256, 40
 #: Marks that systems set after a cut.
 MARKS = ("...", "..", "…", "[more]", "[...]", "[…]", "[truncated]", "[cut]", "[continued]", "(more)", "(cont'd)", "(cont'd", "(continued)", "(continued", ">>>")
 _MARK = r"(\s*(\.{2,}|…|\[(more|\.\.\.|…|truncated|cut|continued)\]?|\((more|cont'd|continued)\)?|>>>))?\s*$"
@@ -156,43 +162,135 @@ class Model:
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self.weights[x].sum(1) + self.bias
 
-    @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-5, rounds: int = 120, rate: float = 0.08) -> "Model":
-        """Adam on the mean log loss, both classes weighing half."""
-        dim, n = 1 << BITS, len(y)
-        w, b = np.zeros(dim), 0.0
-        m, v, mb, vb = np.zeros(dim), np.zeros(dim), 0.0, 0.0
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-        flat, k = x.ravel(), x.shape[1]
-        for t in range(1, rounds + 1):
-            z = np.clip(w[x].sum(1) + b, -30, 30)
-            g = (1 / (1 + np.exp(-z)) - y) * weight
-            grad = np.bincount(flat, weights=np.repeat(g, k), minlength=dim) + l2 * w
-            gb = g.sum()
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-            mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-        return Model(w, b)
-
-
-def prevalence_shift(logits: np.ndarray) -> float:
-    """Log-odds shift from equal classes to the prior that the scores themselves imply (EM)."""
-    if not len(logits):
+
+#: Training rows: features, label (0 as it stands, 1 cut, 2 ends at a limit, 3 as it stands but taken for cut) and fold, in the order of fold and label.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _packed(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> dict:
+    order = np.lexsort((y, fold))
+    return {"x": [x[order].astype(np.uint16).tobytes()], "y": [y[order].astype(np.int8).tobytes()], "f": [fold[order].astype(np.int8).tobytes()]}
+
+
+def _block(r) -> Block:
+    return np.frombuffer(r.x, np.uint16).reshape(-1, N_FEATURES), np.frombuffer(r.y, np.int8), np.frombuffer(r.f, np.int8)
+
+
+class Rows:
+    """All training rows in blocks, on the driver where they are ``driver_rows`` or fewer, else in Spark; sums differ by the order of their terms alone."""
+
+    SCHEMA = "x binary, y binary, f binary"
+
+    def __init__(self, data: DataFrame, driver_rows: int):
+        self.data = cut(data)
+        self.count = self.data.agg(F.sum(F.length("y"))).first()[0] or 0
+        self.blocks = [_block(r) for r in self.data.collect()] if self.count <= driver_rows else None
+
+    def total(self, f: Callable[..., np.ndarray]) -> np.ndarray:
+        """The sum of the vectors ``f(x, y, fold)`` of all blocks."""
+        if self.blocks is not None:
+            return sum(f(*b) for b in self.blocks)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if not gc.get_freeze_count():
+                gc.freeze()  # a worker collects garbage after each task: this spares it going through the modules each time
+            s = None
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    v = f(*_block(r))
+                    s = v if s is None else s + v
+            if s is not None:
+                yield pd.DataFrame({"s": [s.astype(np.float64).tobytes()]})
+
+        tasks = min(TASKS, self.data.sparkSession.sparkContext.defaultParallelism)
+        return sum(np.frombuffer(r.s) for r in self.data.coalesce(tasks).mapInPandas(run, "s binary").collect())
+
+    def relabelled(self, f: Callable[..., np.ndarray]) -> None:
+        """Labels become ``f(x, y, fold)``."""
+        if self.blocks is not None:
+            self.blocks = [_block(pd.DataFrame(_packed(x, f(x, y, fold), fold)).iloc[0]) for x, y, fold in self.blocks]
+            return
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    x, y, fold = _block(r)
+                    yield pd.DataFrame(_packed(x, f(x, y, fold), fold))
+
+        self.data = cut(self.data.mapInPandas(run, self.SCHEMA))
+
+    def tally(self) -> np.ndarray:
+        """Rows by fold and label."""
+        return self.total(lambda x, y, fold: np.bincount(fold.astype(np.intp) * 4 + y, minlength=4 * FOLDS)).reshape(FOLDS, 4)
+
+
+def logits(models: list[Model], x: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """The score of each row by its fold's model."""
+    z = np.zeros(len(x))
+    for i in range(0, len(x), SLAB):
+        for k, m in enumerate(models):
+            own = np.flatnonzero(fold[i : i + SLAB] == k) + i
+            z[own] = m.logit(x[own].astype(np.intp))
+    return z
+
+
+def gradients(w: np.ndarray, b: np.ndarray, on: np.ndarray, share: np.ndarray) -> Callable[..., np.ndarray]:
+    """Of the log loss of each model (a row of ``w``) over the rows of label 0 and 1 in its folds (``on``), weighted by class (``share``); the bias comes last."""
+
+    def of(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(w), w.shape[1] + 1))
+        key = fold.astype(np.intp) * 4 + y
+        for k in range(FOLDS):
+            lo, hi = np.searchsorted(key, (4 * k, 4 * k + 2))
+            for i in range(lo, hi, SLAB):
+                xs, ys = x[i : min(hi, i + SLAB)].astype(np.intp), y[i : min(hi, i + SLAB)]
+                for j in np.flatnonzero(on[:, k]):
+                    z = np.clip(w[j].take(xs).sum(1) + b[j], -30, 30)
+                    g = (1 / (1 + np.exp(-z)) - ys) * share[j].take(ys)
+                    out[j, :-1] += np.bincount(xs.ravel(), weights=np.repeat(g, xs.shape[1]), minlength=w.shape[1])
+                    out[j, -1] += g.sum()
+        return out.ravel()
+
+    return of
+
+
+def fit(rows: Rows, on: np.ndarray, l2: float = 1e-5, rounds: int = 120, rate: float = 0.08) -> list[Model]:
+    """Adam on the mean log loss over all rows, both classes weighing half; model ``j`` learns from the folds ``on[j]``, if they have both."""
+    counts = on.astype(float) @ rows.tally()[:, :2]
+    on = on & (counts > 0).all(1, keepdims=True)
+    share = 0.5 / np.maximum(1, counts)
+    p = np.zeros((len(on), (1 << BITS) + 1))
+    m, v = np.zeros_like(p), np.zeros_like(p)
+    for t in range(1, rounds + 1 if on.any() else 1):
+        grad = rows.total(gradients(p[:, :-1], p[:, -1], on, share)).reshape(p.shape)
+        grad[:, :-1] += l2 * p[:, :-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return [Model(q[:-1], float(q[-1])) for q in p]
+
+
+def prevalence_shift(logits: np.ndarray, n: np.ndarray) -> float:
+    """Log-odds shift from equal classes to the prior that the scores themselves imply (EM); ``n`` records have each score."""
+    if not n.sum():
         return 0.0
     share = 0.1
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(logits + np.log(share / (1 - share)), -30, 30)))
-        share = float(np.clip(p.mean(), 1e-3, 0.5))
+        share = float(np.clip(np.average(p, weights=n), 1e-3, 0.5))
     return float(np.log(share / (1 - share)))
 
 
-def train(docs: DataFrame, limits: DataFrame, sample: int = 16_000) -> Model:
-    """Train on at most about ``sample`` documents; only their hashed features reach the driver."""
+def binned(z: np.ndarray) -> np.ndarray:
+    """Sums and counts of logits by bin: all of them count, and a bin's mean stands for them."""
+    z = np.clip(z, -WIDE, WIDE)
+    at = np.rint((z + WIDE) * FINE).astype(np.intp)
+    return np.concatenate([np.bincount(at, weights=z, minlength=2 * WIDE * FINE + 1), np.bincount(at, minlength=2 * WIDE * FINE + 1)])
+
+
+def training_rows(docs: DataFrame, limits: DataFrame) -> DataFrame:
+    """Blocks of rows of all documents with text: as they stand, and cut."""
     texts = docs.where("length(trim(text)) > 0")
-    total = texts.count()
-    keep = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, total)) * (1 << 30)))
-    keep = keep.withColumn("source_key", F.coalesce("source", F.lit(""))).select("doc_id", "text", "source_key").join(small(limit_sets(limits)), "source_key", "left").select("doc_id", "text", "source_key", F.coalesce("limits", F.array().cast("array<int>")).alias("limits"))
+    keep = texts.withColumn("source_key", F.coalesce("source", F.lit(""))).select("doc_id", "text", "source_key").join(small(limit_sets(limits)), "source_key", "left").select("doc_id", "text", "source_key", F.coalesce("limits", F.array().cast("array<int>")).alias("limits"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -212,26 +310,28 @@ def train(docs: DataFrame, limits: DataFrame, sample: int = 16_000) -> Model:
                     xs.append(features(tail, length, 0, s, by))
                     ys.append(1)
                     folds.append(fold)
-            x = np.array(xs, dtype=np.int32).reshape(-1, N_FEATURES)
-            yield pd.DataFrame({"x": [x.tobytes()], "y": [np.array(ys, dtype=np.int8).tobytes()], "f": [np.array(folds, dtype=np.int8).tobytes()]})
+            yield pd.DataFrame(_packed(np.array(xs, dtype=np.int32).reshape(-1, N_FEATURES), np.array(ys, dtype=np.int8), np.array(folds, dtype=np.int8)))
 
-    parts = [(np.frombuffer(r.x, np.int32).reshape(-1, N_FEATURES), np.frombuffer(r.y, np.int8), np.frombuffer(r.f, np.int8)) for r in keep.mapInPandas(run, "x binary, y binary, f binary").collect()]  # bounded by ``sample``
-    if not parts or not any((y == 1).any() for _, y, _ in parts) or not any((y == 0).any() for _, y, _ in parts):
+    return keep.mapInPandas(run, Rows.SCHEMA)
+
+
+def train(docs: DataFrame, limits: DataFrame, driver_rows: int = 50_000) -> Model:
+    """Train on all documents; the rows of up to ``driver_rows`` are gathered, else only sums over them."""
+    rows = Rows(training_rows(docs, limits), driver_rows)
+    if not rows.count or not (rows.tally()[:, :2].sum(0) > 0).all():
         return Model(np.zeros(1 << BITS), -1.0)
-    x, y, fold = map(np.concatenate, zip(*parts))
-    natural, clean = y == 0, y != 2
+    others = ~np.eye(FOLDS, dtype=bool)
     for _ in range(2):
-        z = np.zeros(len(y))
-        for k in range(FOLDS):
-            rest = clean & (fold != k)
-            if (y[rest] == 1).any() and (y[rest] == 0).any():
-                z[fold == k] = Model.fit(x[rest], y[rest]).logit(x[fold == k])
-        clean = (y == 1) | natural & (z < 0)
-        if not (clean & natural).any():
-            clean = y != 2
+        models = fit(rows, others)
+        rows.relabelled(lambda x, y, fold, models=models: np.where((y == 1) | (y == 2), y, np.where(logits(models, x, fold) < 0, 0, 3)))
+        if not rows.tally()[:, 0].any():
+            rows.relabelled(lambda x, y, fold: np.where(y == 3, 0, y))
             break
-    model = Model.fit(x[clean], y[clean])
-    model.shift, model.limit_shift = prevalence_shift(z[natural]), prevalence_shift(model.logit(x[y == 2]))
+    model = fit(rows, np.ones((1, FOLDS), dtype=bool))[0]
+    own = [model] * FOLDS
+    bins = rows.total(lambda x, y, fold: np.concatenate([binned(logits(ms, x[k], fold[k])) for ms, k in ((models, (y == 0) | (y == 3)), (own, y == 2))]))
+    z, n, limit_z, limit_n = bins.reshape(4, -1)
+    model.shift, model.limit_shift = prevalence_shift(z / np.maximum(1, n), n), prevalence_shift(limit_z / np.maximum(1, limit_n), limit_n)
     return model
 
 
@@ -263,11 +363,11 @@ def score(docs: DataFrame, limits: DataFrame, model: Model) -> DataFrame:
     return out.select(F.col("doc_id").cast(kind["doc_id"]).alias("doc_id"), "source", "truncated_score")
 
 
-def detect(docs: DataFrame, sample: int = 16_000) -> DataFrame:
+def detect(docs: DataFrame, driver_rows: int = 50_000) -> DataFrame:
     """Scores of every record; ``truncated`` is a score over one half."""
     docs = docs.select("doc_id", "source", "text")
     limits = cut(find_limits(docs))
-    return score(docs, limits, train(docs, limits, sample)).withColumn("truncated", F.col("truncated_score") > 0.5)
+    return score(docs, limits, train(docs, limits, driver_rows)).withColumn("truncated", F.col("truncated_score") > 0.5)
 
 
 def rates(scored: DataFrame) -> DataFrame:
